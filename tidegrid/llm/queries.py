@@ -6,12 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import decontaminate, url_filter
+from tidegrid.llm import decontaminate, licenses, maxscore, packing, url_filter
 from tidegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.r, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 5
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     return url_filter.judge(pages, url_filter.rules_table(spark, url_filter.default_rules()))
@@ -66,5 +98,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
-QUERIES: dict[str, Query] = {"op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
-SQL: dict[str, str] = {"op9_url_filter": OP9_SQL, "op10_winnowing": OP10_SQL}
+QUERIES: dict[str, Query] = {"op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
+SQL: dict[str, str] = {"op3_maxscore": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_winnowing": OP10_SQL}
