@@ -46,7 +46,7 @@ def tokenizer_path() -> str:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
-    return url_filter.judge(pages, url_filter.rules_table(spark, url_filter.default_rules()))
+    return url_filter.judge(pages, url_filter.default_rules())
 
 
 OP9_SQL = """

@@ -14,12 +14,14 @@ length go to the alphabetically last one.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rules of up to this size are broadcast.
+BROADCAST_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the query.
@@ -90,12 +92,17 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, kind string, verdict string, rule string, regex string, tokens array<string>")
 
 
-def index_rules(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
+def sized(small: bool) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast what follows from the rules, if they are few; else leave the join to the planner."""
+    return F.broadcast if small else lambda df: df
+
+
+def index_rules(rules: DataFrame, url_tokens: DataFrame, small: bool = False) -> DataFrame:
     """Each rule with the one of its tokens that the fewest URLs hold. url_tokens has a column `tokens`, one row a URL."""
     wanted = rules.select("rule_id", F.explode("tokens").alias("token"))
     seen = (
         url_tokens.select(F.explode("tokens").alias("token"))
-        .join(wanted.select("token").distinct(), "token", "left_semi")
+        .join(sized(small)(wanted.select("token")), "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -108,8 +115,10 @@ def index_rules(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
     return rules.drop("tokens").join(chosen, "rule_id")
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (of the longest site rule that fits, else null), verdict, method_rule (the longest pattern)."""
+    small = sum(len(r.regex) + sum(map(len, r.tokens)) + 64 for r in rules) <= BROADCAST_BYTES
+    table = rules_table(pages.sparkSession, rules)
     urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     target = F.concat("host", F.coalesce("path", F.lit("")))
     split = F.split(F.translate(target, UPPER, LOWER), "[^0-9a-z]+")
@@ -120,11 +129,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         F.coalesce("path", F.lit("")).alias("path"),
         F.array_distinct(F.concat(F.coalesce(split, F.array()), F.array(F.lit("")))).alias("tokens"),
     )
-    index = index_rules(rules, urls)
+    index = index_rules(table, urls, small)
     length = F.length("rule").alias("length")
     hit = (
         urls.select("page_id", "url", F.concat("host", "path").alias("target"), F.explode("tokens").alias("token"))
-        .join(index, "token")
+        .join(sized(small)(index), "token")
         .where(F.expr("target RLIKE regex"))
     )
     best = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct(length, "rule", "verdict"))).alias(kind)
