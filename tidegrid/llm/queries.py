@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import decontaminate, licenses, maxscore, packing, url_filter
+from tidegrid.llm import decontaminate, licenses, maxscore, ngram_join, packing, url_filter
 from tidegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, _ = ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return docs.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -98,5 +103,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
-QUERIES: dict[str, Query] = {"op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
+QUERIES: dict[str, Query] = {"op2_ngram_join": op2_ngram_join, "op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
 SQL: dict[str, str] = {"op3_maxscore": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_winnowing": OP10_SQL}
