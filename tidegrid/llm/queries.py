@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import decontaminate, licenses, maxscore, ngram_join, packing, url_filter
+from tidegrid.llm import cotraining, decontaminate, language, licenses, maxscore, ngram_join, packing, toxicity, url_filter
 from tidegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "n_chars")
+    return cotraining.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, _ = ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
     return docs.select("doc_id", "n_shingles", "component_id")
@@ -39,6 +44,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
@@ -49,6 +58,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     return url_filter.judge(pages, url_filter.default_rules())
@@ -103,5 +116,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
-QUERIES: dict[str, Query] = {"op2_ngram_join": op2_ngram_join, "op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
+QUERIES: dict[str, Query] = {"op1_cotraining": op1_cotraining, "op2_ngram_join": op2_ngram_join, "op5_language_id": op5_language_id, "op7_toxicity": op7_toxicity, "op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
 SQL: dict[str, str] = {"op3_maxscore": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_winnowing": OP10_SQL}
