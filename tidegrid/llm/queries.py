@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import cotraining, decontaminate, language, licenses, maxscore, ngram_join, packing, toxicity, url_filter
+from tidegrid.llm import cotraining, decontaminate, language, licenses, maxscore, mixing, ngram_join, packing, toxicity, url_filter
 from tidegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.evaluate(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     return url_filter.judge(pages, url_filter.default_rules())
@@ -116,5 +120,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
-QUERIES: dict[str, Query] = {"op1_cotraining": op1_cotraining, "op2_ngram_join": op2_ngram_join, "op5_language_id": op5_language_id, "op7_toxicity": op7_toxicity, "op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
+QUERIES: dict[str, Query] = {"op1_cotraining": op1_cotraining, "op2_ngram_join": op2_ngram_join, "op5_language_id": op5_language_id, "op7_toxicity": op7_toxicity, "op8_context_mixing": op8_context_mixing, "op3_maxscore": op3_maxscore, "op4_license_scan": op4_license_scan, "op6_packing": op6_packing, "op9_url_filter": op9_url_filter, "op10_winnowing": op10_winnowing}
 SQL: dict[str, str] = {"op3_maxscore": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_winnowing": OP10_SQL}
