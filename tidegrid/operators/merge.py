@@ -55,11 +55,17 @@ def fold_messages(messages: DataFrame, columns: Sequence[str]) -> DataFrame:
 def apply_patch(state: DataFrame, patch: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The state after a patch (of fold_messages): updated, inserted and kept rows; deleted ones are gone."""
     named = [c for c in columns if c not in (KEY, SEQ)]
-    new = patch.select(F.col(KEY).alias("k"), F.col(SEQ).alias("s"), F.col(OP).alias("op"), F.col(PRESENT).alias("p"), F.struct(*[F.col(f"`{c}`") for c in named]).alias("n"))
-    both = state.join(new, state[KEY] == new["k"], "full_outer").where("op IS NULL OR op <> 'delete'")
-    fresh = F.col(KEY).isNull() | (F.col("op") == "replace")
-    value = lambda c: F.when(F.col("op").isNull(), F.col(f"`{c}`")).when(fresh | F.array_contains("p", c), F.col(f"n.`{c}`")).otherwise(F.col(f"`{c}`"))
-    return both.select(F.coalesce(KEY, "k").alias(KEY), F.when(F.coalesce(fresh, F.lit(False)) & F.col("op").isNotNull(), F.col("s")).otherwise(F.col(SEQ)).alias(SEQ), *[value(c).alias(c) for c in named])
+    fields = F.struct(*[F.col(f"`{c}`") for c in named]).alias("__n")
+    new = patch.select(F.col(KEY).alias("__k"), F.col(SEQ).alias("__s"), F.col(OP).alias("__o"), F.col(PRESENT).alias("__p"), fields)
+    both = state.join(new, state[KEY] == new["__k"], "full_outer").where("__o IS NULL OR __o <> 'delete'")
+    untouched = F.col("__o").isNull()
+    fresh = ~untouched & (F.col(KEY).isNull() | (F.col("__o") == "replace"))
+
+    def value(c: str) -> Column:
+        old, given = F.col(f"`{c}`"), F.col(f"__n.`{c}`")
+        return F.when(untouched, old).when(fresh | F.array_contains("__p", c), given).otherwise(old).alias(c)
+
+    return both.select(F.coalesce(KEY, "__k").alias(KEY), F.when(fresh, F.col("__s")).otherwise(F.col(SEQ)).alias(SEQ), *map(value, named))
 
 
 def latest(messages: DataFrame) -> DataFrame:
