@@ -18,8 +18,7 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, _ = ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return docs.select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text")).documents()
 
 
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
