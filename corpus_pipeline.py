@@ -1,16 +1,60 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, toxicity, near duplicates, benchmark decontamination, packing.
+
+Each stage takes what the one before has kept, written as Parquet and read again; all but the last return the columns of
+documents. Rows with nulls, empty texts and repeated rows go through each stage as its operator defines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidegrid.llm import decontaminate, language, ngram_join, packing, toxicity
+from tidegrid.llm.common import Scratch, table
+from tidegrid.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned stay; those without a letter, or like none of the languages, go."""
+    return language.accepted(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("language", language_id),
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
+#: Models decide in the first stages, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.save(docs)
     return docs

@@ -235,3 +235,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
     copies = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
     return copies.mapInArrow(merge, schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs that are not contaminated; docs may have any columns besides doc_id and text."""
+    parts = benchmark_blocks(benchmark, block_bytes)
+    first, more = next(parts, ([], [])), next(parts, None)
+    if more is not None:
+        bad = contamination(docs, benchmark, window, gram, block_bytes).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    index, text = build_index(*first, window, gram), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not finish(n, spans, items)[4] for n, spans, items in _rows(batch.column(text), index, window, gram)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

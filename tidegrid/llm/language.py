@@ -27,6 +27,8 @@ from tidegrid.llm.common import fold, sampled
 
 SPECTRUM, BITS, LANDMARKS, MOST, RIDGE = 4, 14, 128, 4_000, 1e-3
 UNKNOWN = "und"
+#: A text whose best score is below this is in none of the languages.
+LEAST = 0.25
 _BLANK = np.arange(256, dtype=np.uint32)
 _BLANK[:97] = 32
 _BLANK[123:128] = 32
@@ -113,31 +115,48 @@ def fit(docs: DataFrame, most: int = MOST) -> Model | None:
     return fit_model(x, np.array(got.column("lang").to_pylist(), dtype=object)[order])
 
 
+def judged(column: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the language and its score (from the best regression value: 0 at -1 or less, 1 at 1 or more)."""
+    text = text_array(column)
+    known = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
+    best, score = np.zeros(len(text), np.int64), np.zeros(len(text))
+    if model is None:
+        known = np.zeros(len(text), dtype=bool)
+    else:
+        for block in blocks(pc.utf8_lower(text), 1 << 18):
+            for first in range(0, block.n_docs, 256):
+                last = min(first + 256, block.n_docs)
+                part = Block(block.first + first, block.first + last, block.data[block.offsets[first] : block.offsets[last]], block.offsets[first : last + 1] - block.offsets[first])
+                s = model.scores(presence(part))
+                best[part.first : part.last] = s.argmax(axis=1)
+                score[part.first : part.last] = np.clip((s.max(axis=1) + 1) / 2, 0, 1)
+    names = np.array([*(model.languages if model else []), UNKNOWN], dtype=object)
+    return names[np.where(known, best, len(names) - 1)], np.where(known, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score (from the best language's regression value: 0 at -1 or less, 1 at 1 or more)."""
+    """doc_id, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = text_array(batch.column(1))
-            known = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(text), np.int64), np.zeros(len(text))
-            if model is not None:
-                for block in blocks(pc.utf8_lower(text), 1 << 18):
-                    for first in range(0, block.n_docs, 256):
-                        last = min(first + 256, block.n_docs)
-                        part = Block(block.first + first, block.first + last, block.data[block.offsets[first] : block.offsets[last]], block.offsets[first : last + 1] - block.offsets[first])
-                        s = model.scores(presence(part))
-                        best[part.first : part.last] = s.argmax(axis=1)
-                        score[part.first : part.last] = np.clip((s.max(axis=1) + 1) / 2, 0, 1)
-            else:
-                known = np.zeros(len(text), dtype=bool)
-            names = np.array([*(model.languages if model else []), UNKNOWN], dtype=object)
-            lang = names[np.where(known, best, len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+            lang, score = judged(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
+    """The rows of docs whose text is in one of the languages learned, with at least this score."""
+    model, text = fit(docs, most), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = judged(batch.column(text), model)
+            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))

@@ -27,6 +27,7 @@ from tidegrid.llm.common import fold, sampled
 from tidegrid.llm.textstats import features, held, near, per_doc
 
 MOST, HOLD, LEAST_DOCS, MOST_WORDS, LEAST_ODDS = 12_000, 5, 3, 4096, 1.5
+TOXIC = 0.5
 
 
 @dataclass
@@ -142,21 +143,36 @@ def hash_id(doc_id: int) -> int:
     return (doc_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32
 
 
+def scores(column: pa.Array, model: Model) -> np.ndarray:
+    out = []
+    for block in blocks(column):
+        x, w = features(block)
+        out.append(model.score(x, w, _second(w)))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for block in blocks(batch.column(1)):
-                x, w = features(block)
-                out.append(model.score(x, w, _second(w)))
-            p = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            p = scores(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(p), pa.array((p >= TOXIC).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """The rows of docs that are not predicted to be toxic."""
+    model, text = fit(docs, labels, most), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(text), model) < TOXIC))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, held_out, score, predicted: fitted on the labels outside the held-out fold."""
     held_out = F.coalesce(fold(F.col("doc_id"), HOLD) == 0, F.lit(False))
