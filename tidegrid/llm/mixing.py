@@ -49,19 +49,19 @@ def windows(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each text and its end byte: that byte and those before it that the longest context has, as one number; and the document."""
     n, size = block.n_docs, np.diff(block.offsets)
     # before each text as many zeros as a number has bytes besides the last; the end byte after it
-    wide = size + 8
-    first = np.cumsum(wide) - wide
-    data = np.zeros(int(wide.sum()) + 8, dtype=np.uint8)
-    doc = np.repeat(np.arange(n), size + 1)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1) + np.repeat(first, size + 1)
-    last = np.cumsum(size + 1) - 1
-    inner = np.ones(len(doc), dtype=bool)
-    inner[last] = False
-    data[at[inner] + 7] = _LOWER[block.data]
-    data[at[last] + 7] = END_BYTE
+    data = np.zeros(len(block.data) + 9 * n + 8, dtype=np.uint8)
+    inside = np.zeros(len(data) - 7, dtype=bool)
+    lowered = _LOWER[block.data]
+    first = 0
+    for begin, end in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
+        length = end - begin
+        data[first + 7 : first + 7 + length] = lowered[begin:end]
+        data[first + 7 + length] = END_BYTE
+        inside[first : first + length + 1] = True
+        first += length + 9
     # eight bytes from any place on, read as one number
-    every = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
-    return every[at] & np.uint64((1 << 8 * (max(ORDERS) + 1)) - 1), doc
+    every = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64)
+    return every[inside] & np.uint64((1 << 8 * (max(ORDERS) + 1)) - 1), np.repeat(np.arange(n), size + 1)
 
 
 @dataclass
@@ -94,7 +94,7 @@ class Distinct:
 class Known:
     """Costs of windows worked out before, in a table of fixed size; what is not there is worked out again."""
 
-    def __init__(self, work: Callable[[np.ndarray], np.ndarray], bits: int = 22) -> None:
+    def __init__(self, work: Callable[[np.ndarray], np.ndarray], bits: int = 21) -> None:
         self.work, self.bits = work, bits
         self.key = np.full(1 << bits, 1 << 63, dtype=np.uint64)
         self.cost = np.zeros(1 << bits)
@@ -117,29 +117,42 @@ class Known:
         return out
 
 
-def slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: places in the tables (orders, bits, windows), the known bits before each bit, and the bits."""
+def known_bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window's last byte, bit by bit: the bits known before (with a leading one), and the bit. (bits, windows)"""
     byte = (key & np.uint64(255)).astype(np.int64)
     shift = np.arange(8)[:, None]
-    node = (1 << shift) | (byte[None, :] >> (8 - shift))
-    bit = (byte[None, :] >> (7 - shift)) & 1
-    out = np.empty((len(ORDERS), 8, len(key)), dtype=np.int64)
-    salt = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for i, order in enumerate(ORDERS):
-        context = (key >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-        h = mix(context * np.uint64(2 * len(ORDERS) + 1) + np.uint64(i))
-        out[i] = (((h[None, :] + salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64) + (i << BITS)
-    return out, node, bit
+    return (1 << shift) | (byte[None, :] >> (8 - shift)), (byte[None, :] >> (7 - shift)) & 1
+
+
+def places(key: np.ndarray, node: np.ndarray, i: int) -> np.ndarray:
+    """Places in the i-th order's table. (bits, windows)"""
+    context = (key >> np.uint64(8)) & np.uint64((1 << 8 * ORDERS[i]) - 1)
+    h = mix(context * np.uint64(2 * len(ORDERS) + 1) + np.uint64(i))
+    at = node.astype(np.uint64)
+    at *= np.uint64(0xD6E8FEB86659FD93)
+    at += h[None, :]
+    at *= np.uint64(0x9E3779B97F4A7C15)
+    at >>= np.uint64(64 - BITS)
+    return at.view(np.int64)
+
+
+def slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: places in all tables (orders, bits, windows), the known bits before each bit, and the bits."""
+    node, bit = known_bits(key)
+    return np.stack([places(key, node, i) + (i << BITS) for i in range(len(ORDERS))]), node, bit
 
 
 def count(key: np.ndarray, times: np.ndarray, table: np.ndarray) -> None:
     """Add windows to the table of (zeros, ones)."""
-    for first in range(0, len(key), 1 << 18):
-        at, _, bit = slots(key[first : first + (1 << 18)])
-        weight = np.broadcast_to(times[first : first + (1 << 18)].astype(float), bit.shape).ravel()
+    for first in range(0, len(key), 1 << 17):
+        part = key[first : first + (1 << 17)]
+        node, bit = known_bits(part)
+        weight = np.broadcast_to(times[first : first + (1 << 17)].astype(float), bit.shape).ravel()
         for i in range(len(ORDERS)):
-            place = ((at[i] - (i << BITS)) * 2 + bit).ravel()
-            table[i << BITS : (i + 1) << BITS] += np.bincount(place, weight, 2 << BITS).reshape(-1, 2)
+            place = places(part, node, i)
+            place *= 2
+            place += bit
+            table[i << BITS : (i + 1) << BITS] += np.bincount(place.ravel(), weight, 2 << BITS).reshape(-1, 2)
 
 
 def odds_and_seen(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +241,8 @@ def costs(key: np.ndarray, mixer: Mixer, refined: np.ndarray, odds: np.ndarray,
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """(kind, key, a, b) over training documents: words (0) with their counts, table places (1) with zeros and ones."""
+    """(kind, key, s0 to s7), summed over training documents: of words (kind 0) the count in s0; of four places in a row of
+    the tables (kind 1; key: the first of them by 4) the zeros and ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((len(ORDERS) << BITS, 2))
@@ -243,20 +257,23 @@ def gather(docs: DataFrame) -> DataFrame:
                 found.append(words(block, SPACED).hash)
             if found:
                 value, n = np.unique(np.concatenate(found), return_counts=True)
-                value, n = np.append(signed(value), END_TOKEN), np.append(n, batch.num_rows)
-                yield _rows(0, value, n, np.zeros(len(n)))
+                yield _rows(0, np.append(signed(value), END_TOKEN), [np.append(n, batch.num_rows)])
         if some:
             count(*held.take(), table)
-            at = np.flatnonzero(table.any(axis=1))
-            for first in range(0, len(at), 1 << 18):
-                part = at[first : first + (1 << 18)]
-                yield _rows(1, part, table[part, 0], table[part, 1])
+            rows = table.reshape(-1, 8)
+            at = np.flatnonzero(rows.any(axis=1))
+            for first in range(0, len(at), 1 << 17):
+                part = at[first : first + (1 << 17)]
+                yield _rows(1, part, list(rows[part].T))
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, a long, b long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    summed = [F.sum(f"s{i}").alias(f"s{i}") for i in range(8)]
+    return docs.select("text").mapInArrow(run, "kind int, key long, " + ", ".join(f"s{i} long" for i in range(8))).groupBy("kind", "key").agg(*summed)
 
 
-def _rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["kind", "key", "a", "b"])
+def _rows(kind: int, key: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+    zero = pa.array(np.zeros(len(key), np.int64))
+    columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), *[pa.array(s.astype(np.int64)) for s in sums], *[zero] * (8 - len(sums))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", *[f"s{i}" for i in range(8)]])
 
 
 def learn_mixer(docs: DataFrame, table: np.ndarray) -> Mixer:
@@ -356,12 +373,14 @@ def evaluate(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id"), HOLD) == 0, F.lit(False))
     train = docs.where(~held_out)
     gathered = scratch.save(gather(train))
-    places = gathered.where("kind = 1").select("key", "a", "b").toArrow()
+    places = gathered.where("kind = 1").drop("kind").toArrow()
     table = np.zeros((len(ORDERS) << BITS, 2), dtype=np.float32)
-    at = places.column("key").to_numpy()
-    table[at, 0], table[at, 1] = places.column("a").to_numpy(), places.column("b").to_numpy()
+    rows = table.reshape(-1, 8)
+    for i in range(8):
+        rows[places.column("key").to_numpy(), i] = places.column(f"s{i}").to_numpy()
+    del places
     mixer = learn_mixer(train, table)
-    counts = gathered.where("kind = 0").select("key", F.col("a").alias("c"))
+    counts = gathered.where("kind = 0").select("key", F.col("s0").alias("c"))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("key") == END_TOKEN, F.col("c"))), F.lit(0)).alias("e")).head()
     floor = float(np.log10(total["n"] + 0.1 * (total["v"] + 1)))
     scored = scratch.save(score_texts(docs, table, mixer, head_words(counts), floor, total["e"]))
