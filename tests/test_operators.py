@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import diff, merge
 from tidegrid.operators.view import View
-from tidegrid.plans.gridmodel import view_request
+from tidegrid.plans.gridmodel import mode, refresh_routes, view_request
 from tidegrid.plans.viewspec import SpecError, ViewSpec
 
 
@@ -81,6 +81,7 @@ def test_grid_request():
     )
     assert spec["groupBy"] == ["ccy"] and spec["filter"][0] == {"column": "desk", "op": "equals", "value": "EM"} and spec["filter"][1]["op"] == "or" and len(spec["filter"]) == 4
     assert unsupported == ["px: contains (number)"]
+    assert refresh_routes([("a", "b"), ("a", "c"), ("d",)]) == [["a"], []] and mode(10) == ("client",)
 
 
 def test_fold_is_a_naive_fold(spark):

@@ -79,6 +79,7 @@ def test_watches(spark, live):
     assert groups.poll().count() == 2 and groups.poll() is None and members.poll() is None and deltas.poll() is None
     live.apply(batch(spark, ("b", 3, "update", "Y", 5.0), ("c", 4, "insert", "X", -1.0)))
     assert {r["__key"] for r in deltas.poll().rows.collect()} == {"b", "c"}
+    assert RowDeltas(live, 1).notify() == {"rev": 2, "changed": 2, "removed": 0}
     assert {(r["desk"], r["change"], r["pnl"]) for r in groups.poll().collect()} == {("X", "update", 0.0), ("Y", "update", 5.0)}
     events, payload = members.poll()
     assert [tuple(r) for r in events.collect()] == [("entered", "b")] and payload.count() == 1

@@ -49,7 +49,7 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a keyed table of positions."""
     df = read(spark, sf_dir, "lineitem")
     key = F.concat_ws("\u0001", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    return df.withColumns({"__key": key, "__seq": F.col("l_orderkey") * 10 + F.col("l_linenumber")})
+    return df.withColumns({"__key": key, "__seq": (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")})
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def agg_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(View(read(spark, sf_dir, "nation"), spec).groups().select("n_regionkey", "value"), 6)
 
 
-@query("SELECT l_returnflag, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS first, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS last FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, arg_min(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS first, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS last FROM lineitem GROUP BY 1")
 def agg_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"groupBy": ["l_returnflag"], "aggregates": [{"column": "l_quantity", "fn": "first", "as": "first"}, {"column": "l_quantity", "fn": "last", "as": "last"}]}
     return View(book(spark, sf_dir), spec).groups().select("l_returnflag", "first", "last")

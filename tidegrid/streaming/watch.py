@@ -41,6 +41,12 @@ class RowDeltas:
         return Delta(now, rows, removed, reset)
 
 
+    def notify(self) -> dict[str, int] | None:
+        """As poll, but only how many rows there are to fetch."""
+        delta = self.poll()
+        return None if delta is None else {"rev": delta.rev, "changed": delta.rows.count(), "removed": delta.removed.count()}
+
+
 @dataclass
 class GroupWatch:
     """Group rows that changed since the last poll, over every level of the spec's groups."""
