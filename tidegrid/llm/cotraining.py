@@ -20,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.boosting import Isotonic, Logistic, Trees, fit_isotonic, fit_logistic, fit_trees, sigmoid
 from tidegrid.llm.buffers import blocks, text_array
-from tidegrid.llm.common import fold, sampled
+from tidegrid.llm.common import arrow, fold, sampled
 from tidegrid.llm.textstats import features
 
 MOST, HOLD, ROUNDS, EACH, SURE, PSEUDO = 12_000, 5, 3, 500, 0.97, 0.5
@@ -51,7 +52,7 @@ def metadata(source: list, lang: list, n_chars: list, n_bytes: np.ndarray) -> np
 def both_views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Features of (doc_id, text, source, lang, n_chars) rows: of the text, and of the metadata."""
     text = [features(block)[0] for block in blocks(batch.column(1))]
-    size = np.diff(np.frombuffer(text_array(batch.column(1)).buffers()[1], dtype=np.int64)[: len(batch.column(1)) + 1]) if batch.num_rows else np.zeros(0)
+    size = pc.binary_length(text_array(batch.column(1))).to_numpy(zero_copy_only=False).astype(float)
     return np.vstack(text), metadata(*[batch.column(i).to_pylist() for i in (2, 3, 4)], size)
 
 
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
                 x, m = both_views(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x", "m"])
 
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, y int, x array<double>, m array<double>").toArrow()
+    rows = arrow(docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id"), extract, "doc_id long, y int, x array<double>, m array<double>").toArrow()
     order = np.argsort([(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in rows.column("doc_id").to_pylist()], kind="stable")
     array = lambda name: np.stack([np.array(v.as_py()) for v in rows.column(name)])[order] if len(order) else np.zeros((0, 1))
     x, m = array("x"), array("m")
@@ -155,6 +156,6 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
                 a, b, p = model.scores(*both_views(batch))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(a), pa.array(b), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "text_score", "metadata_score", "score", "predicted"])
 
-    scored = docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double, predicted int")
+    scored = arrow(docs.select("doc_id", "text", "source", "lang", "n_chars"), run, "doc_id long, text_score double, metadata_score double, score double, predicted int")
     held_out = F.coalesce(fold(F.col("doc_id"), HOLD) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "text_score", "metadata_score", "score", "predicted")

@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidegrid.llm.buffers import ALNUM, blocks, grams, inside, words
+from tidegrid.llm.common import arrow
 
 WINDOW, GRAM = 13, 5
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, spans array<struct<first: long, last: long>>, text_hash long"
@@ -185,17 +186,17 @@ def _rows(column: pa.Array, index: Index, window: int, gram: int) -> Iterator[tu
 def scan(docs: DataFrame, index: Index, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """A result row for each document against one block of the benchmark."""
     schema = StructType.fromDDL(RESULT)
-    arrow = to_arrow_schema(schema)
+    shape = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [finish(n, spans, items) for n, spans, items in _rows(batch.column(1), index, window, gram)]
             cols = list(zip(*found, strict=True)) if found else [[]] * 7
             spans = [[{"first": a, "last": b - 1} for a, b in s] for s in cols[6]]
-            arrays = [batch.column(0).cast(pa.int64()), *[pa.array(list(c), arrow.field(k + 1).type) for k, c in enumerate(cols[:6])], pa.array(spans, arrow.field(7).type), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            arrays = [batch.column(0).cast(pa.int64()), *[pa.array(list(c), shape.field(k + 1).type) for k, c in enumerate(cols[:6])], pa.array(spans, shape.field(7).type), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=shape)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
+    return arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, schema)
 
 
 def benchmark_blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:
@@ -222,7 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     once = [p.groupBy(*key, "items", "spans").agg(F.count(F.lit(1)).alias("copies")) for p in parts]
     grouped = reduce(DataFrame.unionByName, once).groupBy(*key).agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.max("copies").alias("copies"))
     schema = parts[0].schema
-    arrow = to_arrow_schema(schema)
+    shape = to_arrow_schema(schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,10 +232,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                 found = finish(r["n_words"], [(s["first"], s["last"] + 1) for s in r["spans"]], set(r["items"]))
                 row = dict(zip(schema.fieldNames(), (r["doc_id"], *found, r["text_hash"]), strict=True))
                 out.append(row | {"spans": [{"first": a, "last": b - 1} for a, b in found[-1]]})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     copies = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
-    return copies.mapInArrow(merge, schema)
+    return arrow(copies, merge, schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = 8 << 20) -> DataFrame:
@@ -250,4 +251,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
         for batch in batches:
             yield batch.filter(pa.array([not finish(n, spans, items)[4] for n, spans, items in _rows(batch.column(text), index, window, gram)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.buffers import Block, blocks, text_array
-from tidegrid.llm.common import fold, sampled
+from tidegrid.llm.common import arrow, fold, sampled
 
 SPECTRUM, BITS, LANDMARKS, MOST, RIDGE = 4, 14, 128, 4_000, 1e-3
 UNKNOWN = "und"
@@ -108,7 +108,9 @@ def fit(docs: DataFrame, most: int = MOST) -> Model | None:
             bits = [np.packbits(row).tobytes() for block in blocks(text, 1 << 18) for row in presence(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
-    got = rows.mapInArrow(extract, "doc_id long, lang string, bits binary").toArrow()
+    got = arrow(rows, extract, "doc_id long, lang string, bits binary").toArrow()
+    if not got.num_rows:
+        return None
     # landmarks are the first of each language in this order: that of a hash of the id
     order = np.argsort([(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in got.column("doc_id").to_pylist()], kind="stable")
     x = np.array([np.unpackbits(np.frombuffer(got.column("bits")[int(i)].as_py(), np.uint8)) for i in order], dtype=bool).reshape(len(order), -1)
@@ -142,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = judged(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
@@ -154,7 +156,7 @@ def accepted(docs: DataFrame, least: float = LEAST, most: int = MOST) -> DataFra
             lang, score = judged(batch.column(text), model)
             yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame, most: int = MOST) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidegrid.llm.buffers import _LOWER, ALNUM, Block, blocks, hash_words, words
+from tidegrid.llm.common import arrow
 
 #: Phrases of whole words, and the labels they give.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -133,7 +134,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     """Base places and labels, all labels, a score (1 for an exact phrase, else 1 less the share of edits), and the spans."""
     phrases, notices = phrases or PHRASES, notices or NOTICES
     schema = StructType.fromDDL(RESULT)
-    arrow = to_arrow_schema(schema)
+    shape = to_arrow_schema(schema)
     hashed = [(hash_words(p.split()), label) for p, label in phrases.items()]
 
     def rows(column: pa.Array) -> Iterator[tuple]:
@@ -171,7 +172,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(zip(*rows(batch.column(1)), strict=True)) or [[]] * 8
-            arrays = [batch.column(0).cast(pa.int64()), *[pa.array(list(c), arrow.field(k + 1).type) for k, c in enumerate(cols)]]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            arrays = [batch.column(0).cast(pa.int64()), *[pa.array(list(c), shape.field(k + 1).type) for k, c in enumerate(cols)]]
+            yield pa.RecordBatch.from_arrays(arrays, schema=shape)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return arrow(docs.select("doc_id", "text"), run, schema)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import arrow
+
 SCALE = 256
 SHARD = "query_no long, query_id long, vec_id long, score long"
 PROBE = 8
@@ -138,7 +140,7 @@ def _search(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, f
                 names=["query_no", "query_id", "vec_id", "score"],
             )
 
-    return candidates.mapInArrow(run, SHARD)
+    return arrow(candidates, run, SHARD)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 4096, shard_rows: int = 8192) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.boosting import sigmoid
 from tidegrid.llm.buffers import _LOWER, SPACED, Block, blocks, mix, signed, words
-from tidegrid.llm.common import Scratch, fold
+from tidegrid.llm.common import Scratch, arrow, fold
 
 ORDERS = (1, 2, 3, 4, 5)
 BITS, HOLD, HEAD = 19, 10, 1 << 16
@@ -246,19 +246,20 @@ def gather(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((len(ORDERS) << BITS, 2))
-        held, some = Distinct(), False
+        held, found, texts = Distinct(), Distinct(), 0
         for batch in batches:
-            found = []
+            texts += batch.num_rows
             for block in blocks(batch.column(0), CHUNK):
-                some = True
                 held.add(windows(block)[0])
                 if held.size >= TAKEN:
                     count(*held.take(), table)
-                found.append(words(block, SPACED).hash)
-            if found:
-                value, n = np.unique(np.concatenate(found), return_counts=True)
-                yield _rows(0, np.append(signed(value), END_TOKEN), [np.append(n, batch.num_rows)])
-        if some:
+                found.add(words(block, SPACED).hash)
+                if found.size >= TAKEN:
+                    value, n = found.take()
+                    yield _rows(0, signed(value), [n])
+        if texts:
+            value, n = found.take()
+            yield _rows(0, np.append(signed(value), END_TOKEN), [np.append(n, texts)])
             count(*held.take(), table)
             rows = table.reshape(-1, 8)
             at = np.flatnonzero(rows.any(axis=1))
@@ -267,7 +268,7 @@ def gather(docs: DataFrame) -> DataFrame:
                 yield _rows(1, part, list(rows[part].T))
 
     summed = [F.sum(f"s{i}").alias(f"s{i}") for i in range(8)]
-    return docs.select("text").mapInArrow(run, "kind int, key long, " + ", ".join(f"s{i} long" for i in range(8))).groupBy("kind", "key").agg(*summed)
+    return arrow(docs.select("text"), run, "kind int, key long, " + ", ".join(f"s{i} long" for i in range(8))).groupBy("kind", "key").agg(*summed)
 
 
 def _rows(kind: int, key: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
@@ -305,7 +306,7 @@ def learn_mixer(docs: DataFrame, table: np.ndarray) -> Mixer:
             b = np.concatenate([np.full(mixer.weight.size, mass), mixer.total.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a), pa.array(b)], names=["place", "a", "b"])
 
-    got = docs.select("text").mapInArrow(run, "place long, a double, b double").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    got = arrow(docs.select("text"), run, "place long, a double, b double").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     mixer = Mixer.fresh()
     if got.num_rows:
         order = np.argsort(got.column("place").to_numpy())
@@ -350,7 +351,7 @@ def score_texts(docs: DataFrame, table: np.ndarray, mixer: Mixer, head: tuple[np
             number += m
             yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "n_tokens", "head_known", "head_score", "score", "rare", "times"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "number long, doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<long>")
+    return arrow(docs.select("doc_id", "text"), run, "number long, doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<long>")
 
 
 def head_words(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:

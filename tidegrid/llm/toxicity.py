@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 from tidegrid.llm.buffers import Words, blocks, signed
-from tidegrid.llm.common import fold, sampled
+from tidegrid.llm.common import arrow, fold, sampled
 from tidegrid.llm.textstats import features, held, near, per_doc
 
 MOST, HOLD, LEAST_DOCS, MOST_WORDS, LEAST_ODDS = 12_000, 5, 3, 4096, 1.5
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
                     seconds.append(np.packbits(s[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(pa.float64())), pa.array(sets, pa.binary()), batch.column(2).cast(pa.int32())], names=["doc_id", "x", "words", "y"])
 
-    rows = training_rows(docs, labels, "toxic", train, most).mapInArrow(extract, "doc_id long, x array<double>, words binary, y int").toArrow().sort_by("doc_id")
+    rows = arrow(training_rows(docs, labels, "toxic", train, most), extract, "doc_id long, x array<double>, words binary, y int").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), fit_trees(np.zeros((0, 1)), np.zeros(0)), Isotonic(np.zeros(0), np.zeros(0)), float(y.mean()) if len(y) else 0.0)
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = scores(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(p), pa.array((p >= TOXIC).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
@@ -170,7 +170,7 @@ def clean(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(text), model) < TOXIC))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
