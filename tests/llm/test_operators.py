@@ -192,6 +192,18 @@ def test_a_bytes_probabilities_sum_to_one():
     assert np.allclose(known(key), known(key)) and np.allclose(known(key), mixing.costs(key, mixer, mixer.refinement(), odds, seen))
 
 
+def test_contexts_far_more_than_a_fixed_table_stay_apart(spark):
+    """Held-out copies of random texts are known well, however many other contexts there are; other random texts are not."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz012345"), 3000)) for _ in range(260)]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0][:20]
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10]
+    train = texts[:250] * 2
+    rows_in = [*zip(free, train), *zip(held, texts[:10] + texts[250:])]
+    got = {r["doc_id"]: -r["score"] / math.log10(2) / 3001 for r in mixing.evaluate(spark.createDataFrame(rows_in, "doc_id long, text string").coalesce(2)).collect()}
+    assert max(got[i] for i in held[:10]) < 1.5 and min(got[i] for i in held[10:]) > 4.5
+
+
 # 9
 
 

@@ -1,15 +1,17 @@
 """LM scoring by logistic context mixing: hashed-context bit predictors, gated weights, and an adaptive refinement.
 
 A text's bytes (A-Z lower-cased, an end byte last) are predicted bit by bit, from the high bit on. For each of the `ORDERS`
-there is a table of counts of zeros and ones, found by a hash of that many bytes before and of the bits already known. The
+zeros and ones are counted by that many bytes before and the bits already known: exactly, for every context there is. The
 log odds of each table are inputs of a mixer; which of its weight vectors is used is chosen by a gate: the bit's number
 and the longest context that was seen before. The mixed probability is refined by a table over the known bits and the
 quantised log odds, and averaged with what it says. The text's score is the sum over all bits, as log10 of its probability.
 
-Three passes over the corpus: counts of contexts and of words, summed over all training documents; weights and refinement,
-learned online, block after block, against counts less the block's own (or else the long contexts would always be right),
-and averaged over tasks; then scores. A bit's probability depends on the last bytes only, so each distinct run of bytes in
-a block is worked out once. Tables have a fixed size; what is counted covers every training document.
+A bit's probability depends on a window only: its byte and the bytes before it that the longest context has. Distinct windows
+are counted over all training documents and dealt by their last three context bytes, so that all counts of the contexts of
+three bytes or more are in one task; windows of the shorter contexts, at most 2^24, go to all tasks. Weights and refinement
+are learned online over all training windows, against counts less those of the windows' own one of `FOLDS` shares of the corpus
+(or else the long contexts would always be right), and averaged over tasks; then each distinct window's cost is worked out
+once. Costs of the windows most often used (at most `HEAD_WINDOWS`) go to all tasks; others are joined by the window.
 
 The word model beside it gives base_score. Counts of the words most often used (at most `HEAD`) go to all tasks; others
 are joined by the word's hash, one row a document and word.
@@ -25,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +37,14 @@ from tidegrid.llm.buffers import _LOWER, SPACED, Block, blocks, mix, signed, wor
 from tidegrid.llm.common import Scratch, arrow, fold
 
 ORDERS = (1, 2, 3, 4, 5)
-BITS, HOLD, HEAD = 19, 10, 1 << 16
-CHUNK, TAKEN, STEP, RATE, PRIOR = 1 << 20, 1 << 20, 4096, 0.05, 0.4
-SHARE, LEAST_LEFT, MOST_LEFT = 64, 1 << 16, 16 << 20
+Find = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+BITS, HOLD, HEAD, HEAD_WINDOWS = 19, 10, 1 << 16, 1 << 21
+CHUNK, TAKEN, STEP, RATE, PRIOR = 1 << 20, 1 << 21, 4096, 0.05, 0.4
+LEAST_LEFT, MOST_LEFT, DEALT = 1 << 16, 16 << 20, 24
+#: Shares of the training documents, and the number that says held-out ones. A window's number has its share above its bytes.
+FOLDS, WINDOW_BITS = 16, 8 * (max(ORDERS) + 1)
+#: Orders whose counts go to all tasks.
+SHORT = 2
 GATES = 8 * (len(ORDERS) + 1)
 INPUTS = len(ORDERS) + 1
 LEVELS, REACH, SLOW = 33, 8.0, 20.0
@@ -124,6 +132,47 @@ def known_bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << shift) | (byte[None, :] >> (8 - shift)), (byte[None, :] >> (7 - shift)) & 1
 
 
+class Contexts:
+    """Places of all contexts and known bits that some windows have, each with a place of its own.
+
+    low: sorted windows of the short orders; key: sorted windows.
+    """
+
+    def __init__(self, low: np.ndarray, key: np.ndarray) -> None:
+        self.low, self.key, self.size = low, key, 0
+        self.low_at, self.at = self._numbered(low, ORDERS[:SHORT]), self._numbered(key, ORDERS[SHORT:])
+
+    def _numbered(self, key: np.ndarray, orders: tuple[int, ...]) -> np.ndarray:
+        node = known_bits(key)[0].astype(np.uint64)
+        out = np.empty((len(orders), *node.shape), np.int64)
+        for i, order in enumerate(orders):
+            context = (key >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
+            code, at = np.unique(context[None, :] << np.uint64(8) | node, return_inverse=True)
+            out[i] = at.reshape(node.shape) + self.size
+            self.size += len(code)
+        return out
+
+    def slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As slots(), for windows that are known."""
+        low = self.low_at[:, :, np.searchsorted(self.low, key & _mask(SHORT + 1))]
+        return np.concatenate([low, self.at[:, :, np.searchsorted(self.key, key)]]), *known_bits(key)
+
+    def counts(self, low: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The table of (zeros, ones) of windows and their times, those of the short orders first."""
+        table = np.zeros(2 * self.size)
+        for known, at, (key, times) in ((self.low, self.low_at, low), (self.key, self.at, own)):
+            place = 2 * at[:, :, np.searchsorted(known, key)] + known_bits(key)[1]
+            table += np.bincount(place.ravel(), np.broadcast_to(times.astype(float), place.shape).ravel(), len(table))
+        return table.reshape(-1, 2)
+
+
+def _mask(size: int) -> np.uint64:
+    return np.uint64((1 << 8 * size) - 1)
+
+
+# places, slots and count are the form with hashed tables of fixed size, for few windows
+
+
 def places(key: np.ndarray, node: np.ndarray, i: int) -> np.ndarray:
     """Places in the i-th order's table. (bits, windows)"""
     context = (key >> np.uint64(8)) & np.uint64((1 << 8 * ORDERS[i]) - 1)
@@ -162,11 +211,12 @@ def odds_and_seen(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Mixer:
-    """Weights by gate, and the refinement's sums: ones and all, by known bits and level."""
+    """Weights by gate, the refinement's sums (ones and all, by known bits and level), and the bits learned from by gate."""
 
     weight: np.ndarray
     ones: np.ndarray
     total: np.ndarray
+    mass: np.ndarray = field(default_factory=lambda: np.zeros(GATES))
 
     @staticmethod
     def fresh() -> Mixer:
@@ -204,18 +254,19 @@ def levels(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-def learn(mixer: Mixer, square: np.ndarray, key: np.ndarray, times: np.ndarray, odds: np.ndarray, seen: np.ndarray) -> None:
+def learn(mixer: Mixer, square: np.ndarray, key: np.ndarray, times: np.ndarray, odds: np.ndarray, seen: np.ndarray, find: Find = slots) -> None:
     """Online steps over windows in a fixed random order."""
     order = np.random.Generator(np.random.PCG64(7)).permutation(len(key))
     for first in range(0, len(key), STEP):
         part = order[first : first + STEP]
-        at, node, bit = slots(key[part])
+        at, node, bit = find(key[part])
         x, gate = inputs(at, odds, seen)
         weight = np.broadcast_to(times[part].astype(float), bit.shape)
         z = mixed(x, mixer.weight, gate)
         miss = (bit - sigmoid(z)) * weight
         flat = gate.ravel()
         mass = np.bincount(flat, weight.ravel(), GATES)
+        mixer.mass += mass
         grad = np.stack([np.bincount(flat, (miss * x[i]).ravel(), GATES) for i in range(INPUTS)], axis=1) / np.maximum(mass, 1e-9)[:, None]
         square += grad**2
         mixer.weight += np.where(mass[:, None] > 0, RATE * grad / np.sqrt(square + 1e-6), 0)
@@ -225,11 +276,11 @@ def learn(mixer: Mixer, square: np.ndarray, key: np.ndarray, times: np.ndarray,
         mixer.ones += np.bincount(place, (weight * bit).ravel(), 256 * LEVELS).reshape(256, LEVELS)
 
 
-def costs(key: np.ndarray, mixer: Mixer, refined: np.ndarray, odds: np.ndarray, seen: np.ndarray) -> np.ndarray:
+def costs(key: np.ndarray, mixer: Mixer, refined: np.ndarray, odds: np.ndarray, seen: np.ndarray, find: Find = slots) -> np.ndarray:
     """log10 of each window's probability of its last byte."""
     out = np.empty(len(key))
     for first in range(0, len(key), STEP):
-        at, node, bit = slots(key[first : first + STEP])
+        at, node, bit = find(key[first : first + STEP])
         x, gate = inputs(at, odds, seen)
         z = mixed(x, mixer.weight, gate)
         low, up = levels(z)
@@ -240,73 +291,106 @@ def costs(key: np.ndarray, mixer: Mixer, refined: np.ndarray, odds: np.ndarray,
     return out
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """(kind, key, s0 to s7), summed over training documents: of words (kind 0) the count in s0; of four places in a row of
-    the tables (kind 1; key: the first of them by 4) the zeros and ones."""
+def gather(docs: DataFrame, leave: int) -> DataFrame:
+    """(kind, key, n), with a key in several rows: training documents' words (kind 0); windows (kind 1) and those of the short
+    orders (kind 2), with the document's share of the corpus above their bytes. docs: text, held_out.
+
+    A share is dealt out to so many bytes in a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(ORDERS) << BITS, 2))
-        held, found, texts = Distinct(), Distinct(), 0
+        share, since, texts = TaskContext.get().partitionId() % FOLDS, 0, 0
+        found, taken, held_out = Distinct(), Distinct(), Distinct()
+
+        def rows(some: Distinct, share: int) -> Iterator[pa.RecordBatch]:
+            key, n = some.take()
+            low, at = np.unique(key & _mask(SHORT + 1), return_inverse=True)
+            yield _rows(2, low, np.bincount(at, n, len(low)), share)
+            yield _rows(1, key, n, share)
+
         for batch in batches:
-            texts += batch.num_rows
-            for block in blocks(batch.column(0), CHUNK):
-                held.add(windows(block)[0])
-                if held.size >= TAKEN:
-                    count(*held.take(), table)
+            is_held = batch.column(1)
+            for block in blocks(batch.column(0).filter(is_held), CHUNK):
+                held_out.add(windows(block)[0])
+                if held_out.size >= TAKEN:
+                    yield from rows(held_out, FOLDS)
+            text = batch.column(0).filter(pc.invert(is_held))
+            texts += len(text)
+            for block in blocks(text, min(CHUNK, leave)):
+                key = windows(block)[0]
+                taken.add(key)
+                since += len(key)
+                if since >= leave or taken.size >= TAKEN:
+                    yield from rows(taken, share)
+                if since >= leave:
+                    share, since = (share + 1) % FOLDS, 0
                 found.add(words(block, SPACED).hash)
                 if found.size >= TAKEN:
                     value, n = found.take()
-                    yield _rows(0, signed(value), [n])
+                    yield _rows(0, signed(value), n)
+        yield from rows(held_out, FOLDS)
         if texts:
+            yield from rows(taken, share)
             value, n = found.take()
-            yield _rows(0, np.append(signed(value), END_TOKEN), [np.append(n, texts)])
-            count(*held.take(), table)
-            rows = table.reshape(-1, 8)
-            at = np.flatnonzero(rows.any(axis=1))
-            for first in range(0, len(at), 1 << 17):
-                part = at[first : first + (1 << 17)]
-                yield _rows(1, part, list(rows[part].T))
+            yield _rows(0, np.append(signed(value), END_TOKEN), np.append(n, texts))
 
-    summed = [F.sum(f"s{i}").alias(f"s{i}") for i in range(8)]
-    return arrow(docs.select("text"), run, "kind int, key long, " + ", ".join(f"s{i} long" for i in range(8))).groupBy("kind", "key").agg(*summed)
+    return arrow(docs.select("text", "held_out"), run, "kind int, key long, n long")
 
 
-def _rows(kind: int, key: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
-    zero = pa.array(np.zeros(len(key), np.int64))
-    columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), *[pa.array(s.astype(np.int64)) for s in sums], *[zero] * (8 - len(sums))]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", *[f"s{i}" for i in range(8)]])
+def _rows(kind: int, key: np.ndarray, n: np.ndarray, share: int = 0) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64) + (share << WINDOW_BITS)), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
 
 
-def learn_mixer(docs: DataFrame, table: np.ndarray) -> Mixer:
-    """Each task learns over its training documents; weights are averaged by the bytes seen, refinement sums are added.
+@dataclass
+class Shares:
+    """Windows with their times in each share of the corpus, sorted by window."""
 
-    What a step leaves out of the counts is a small share of the corpus, and of bounded size.
-    """
-    leave = int(np.clip(float(table[: 1 << BITS].sum()) / 8 / SHARE, LEAST_LEFT, MOST_LEFT))
+    key: np.ndarray
+    share: np.ndarray
+    times: np.ndarray
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, square, mass = Mixer.fresh(), np.zeros((GATES, INPUTS)), 0.0
-        held = Distinct()
+    @staticmethod
+    def of(batches: Iterator[pa.RecordBatch]) -> Shares:
+        """From rows of key and n."""
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        packed, n = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        # sorted by the window, then the share
+        packed = ((packed & ((1 << WINDOW_BITS) - 1)) << 8 | packed >> WINDOW_BITS).astype(np.uint64)
+        value, at = np.unique(packed, return_inverse=True)
+        return Shares(value >> np.uint64(8), (value & np.uint64(255)).astype(np.int64), np.bincount(at, n, len(value)))
 
-        def step() -> float:
-            key, times = held.take()
-            own = np.zeros_like(table)
-            count(key, times, own)
-            learn(mixer, square, key, times, *odds_and_seen(np.maximum(table - own, 0)))
-            return float(times.sum())
+    def keys(self) -> np.ndarray:
+        return np.unique(self.key)
 
-        for batch in batches:
-            for block in blocks(batch.column(0), min(CHUNK, leave)):
-                held.add(windows(block)[0])
-                if held.total >= leave:
-                    mass += step()
-        mass += step()
-        if mass:
-            a = np.concatenate([mixer.weight.ravel() * mass, mixer.ones.ravel()])
-            b = np.concatenate([np.full(mixer.weight.size, mass), mixer.total.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a), pa.array(b)], names=["place", "a", "b"])
-
-    got = arrow(docs.select("text"), run, "place long, a double, b double").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    def taken(self, share: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and times of a share, or of all training documents."""
+        at = self.share != FOLDS if share is None else self.share == share
+        return self.key[at], self.times[at]
+
+
+def learn_mixer(windows: DataFrame, short: Shares) -> Mixer:
+    """Each task learns over its windows, against the counts less those of the windows' own share; a gate's weights are averaged
+    by the bytes seen with it, refinement sums are added. windows: key, n, dealt out by their last three context bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, square = Mixer.fresh(), np.zeros((GATES, INPUTS))
+        mine = Shares.of(batches)
+        if not len(mine.taken()[0]):
+            return
+        contexts = Contexts(short.keys(), mine.keys())
+        table = contexts.counts(short.taken(), mine.taken())
+        for share in range(FOLDS):
+            key, times = mine.taken(share)
+            if len(key):
+                own = contexts.counts(short.taken(share), (key, times))
+                learn(mixer, square, key, times, *odds_and_seen(np.maximum(table - own, 0)), contexts.slots)
+        mass = np.repeat(mixer.mass + 1e-9, INPUTS)
+        a = np.concatenate([mixer.weight.ravel() * mass, mixer.ones.ravel()])
+        b = np.concatenate([mass, mixer.total.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a), pa.array(b)], names=["place", "a", "b"])
+
+    got = arrow(windows, run, "place long, a double, b double").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     mixer = Mixer.fresh()
     if got.num_rows:
         order = np.argsort(got.column("place").to_numpy())
@@ -316,21 +400,48 @@ def learn_mixer(docs: DataFrame, table: np.ndarray) -> Mixer:
     return mixer
 
 
-def score_texts(docs: DataFrame, table: np.ndarray, mixer: Mixer, head: tuple[np.ndarray, np.ndarray], floor: float, end: int) -> DataFrame:
-    """A row each document: its own number, counts of tokens, what head words give, its other words, and the model's score."""
-    keys, counts = head
-    odds, seen = odds_and_seen(table)
+def window_costs(windows: DataFrame, short: Shares, mixer: Mixer) -> DataFrame:
+    """Of each distinct window its key, times in training documents (c), and cost. windows as in learn_mixer."""
     refined = mixer.refinement()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = Shares.of(batches)
+        key = mine.keys()
+        if not len(key):
+            return
+        contexts = Contexts(short.keys(), key)
+        odds, seen = odds_and_seen(contexts.counts(short.taken(), mine.taken()))
+        known, times = mine.taken()
+        c = np.bincount(np.searchsorted(key, known), times, len(key)).astype(np.int64)
+        cost = costs(key, mixer, refined, odds, seen, contexts.slots)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(c), pa.array(cost)], names=["key", "c", "cost"])
+
+    return arrow(windows, run, "key long, c long, cost double")
+
+
+def score_texts(docs: DataFrame, costly: tuple[np.ndarray, np.ndarray], head: tuple[np.ndarray, np.ndarray], floor: float, end: int) -> DataFrame:
+    """A row each document: its own number, counts of tokens, what head words and the windows of known cost give, its other
+    words and windows."""
+    keys, counts = head
+    window, cost_of = costly
     gain = np.log10(counts + 0.1) - floor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        cost = Known(lambda key: costs(key, mixer, refined, odds, seen))
+
+        def look(key: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(window, key), max(len(window) - 1, 0))
+            return np.where(window[at] == key, cost_of[at], np.nan) if len(window) else np.full(len(key), np.nan)
+
+        cost = Known(look)
         for batch in batches:
-            score, n_tokens, known, base, rare, times = [], [], [], [], [], []
+            score, n_tokens, known, base, rare, times, others = [], [], [], [], [], [], []
             for block in blocks(batch.column(1), CHUNK):
                 key, doc = windows(block)
-                score.append(np.bincount(doc, cost(key), block.n_docs))
+                each = cost(key)
+                other = np.isnan(each)
+                score.append(np.bincount(doc, np.where(other, 0, each), block.n_docs))
+                others += np.split(key[other], np.searchsorted(doc[other], np.arange(1, block.n_docs)))[: block.n_docs]
                 w = words(block, SPACED)
                 h = signed(w.hash)
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
@@ -344,27 +455,28 @@ def score_texts(docs: DataFrame, table: np.ndarray, mixer: Mixer, head: tuple[np
                     rare.append(value)
                     times.append(n)
             m = batch.num_rows
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in rare])]).astype(np.int32))
-            flat = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)))
+            offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32))
+            flat = lambda x, t: pa.ListArray.from_arrays(offsets(x), pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)))
             cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-            columns = [pa.array(np.arange(number, number + m)), batch.column(0).cast(pa.int64()), cat(n_tokens, np.int64), cat(known, np.int64), cat(base, float), cat(score, float), flat(rare, np.int64), flat(times, np.int64)]
+            columns = [pa.array(np.arange(number, number + m)), batch.column(0).cast(pa.int64()), cat(n_tokens, np.int64), cat(known, np.int64), cat(base, float), cat(score, float), flat(rare, np.int64), flat(times, np.int64), flat(others, np.int64)]
             number += m
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "n_tokens", "head_known", "head_score", "score", "rare", "times"])
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "n_tokens", "head_known", "head_score", "score", "rare", "times", "others"])
 
-    return arrow(docs.select("doc_id", "text"), run, "number long, doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<long>")
+    return arrow(docs.select("doc_id", "text"), run, "number long, doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<long>, others array<long>")
 
 
-def head_words(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the words with at least 2**i occurrences, for the least i that leaves at most `most`."""
+def most_used(counts: DataFrame, most: int, value: str = "c") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of those with at least 2**i occurrences (c), for the least i that leaves at most `most`."""
+    counts = counts.where("c > 0")
     levels = counts.groupBy(F.floor(F.log2("c")).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
     least, total = 64, 0
     for row in sorted(levels, key=lambda r: -r["level"]):
         if total + row["n"] > most:
             break
         least, total = row["level"], total + row["n"]
-    got = counts.where(F.floor(F.log2("c")) >= least).toArrow()
+    got = counts.where(F.floor(F.log2("c")) >= least).select("key", value).toArrow()
     order = np.argsort(got.column("key").to_numpy())
-    return got.column("key").to_numpy()[order], got.column("c").to_numpy()[order].astype(float)
+    return got.column("key").to_numpy()[order], got.column(value).to_numpy()[order].astype(float)
 
 
 def evaluate(docs: DataFrame) -> DataFrame:
@@ -372,24 +484,24 @@ def evaluate(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), HOLD) == 0, F.lit(False))
-    train = docs.where(~held_out)
-    gathered = scratch.save(gather(train))
-    places = gathered.where("kind = 1").drop("kind").toArrow()
-    table = np.zeros((len(ORDERS) << BITS, 2), dtype=np.float32)
-    rows = table.reshape(-1, 8)
-    for i in range(8):
-        rows[places.column("key").to_numpy(), i] = places.column(f"s{i}").to_numpy()
-    del places
-    mixer = learn_mixer(train, table)
-    counts = gathered.where("kind = 0").select("key", F.col("s0").alias("c"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).head()["n"]
+    gathered = scratch.save(gather(docs.select("text", held_out.alias("held_out")), int(np.clip(size / FOLDS, LEAST_LEFT, MOST_LEFT))))
+    short = Shares.of(gathered.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_batches())
+    # with the corpus grow the parts, not the contexts in each
+    dealt = gathered.where("kind = 1").select("key", "n").repartition(max(1, size >> DEALT), F.expr(f"(key >> 8) & {(1 << 24) - 1}"))
+    mixer = learn_mixer(dealt, short)
+    priced = scratch.save(window_costs(dealt, short, mixer))
+    window, cost = most_used(priced, HEAD_WINDOWS, "cost")
+    counts = scratch.save(gathered.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("key") == END_TOKEN, F.col("c"))), F.lit(0)).alias("e")).head()
     floor = float(np.log10(total["n"] + 0.1 * (total["v"] + 1)))
-    scored = scratch.save(score_texts(docs, table, mixer, head_words(counts), floor, total["e"]))
+    scored = scratch.save(score_texts(docs, (window.astype(np.uint64), cost), most_used(counts, HEAD), floor, total["e"]))
     each = scored.select("number", F.explode(F.arrays_zip("rare", "times")).alias("word")).select("number", F.col("word.rare").alias("key"), F.col("word.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     value = F.col("times") * (F.log10(c + F.lit(0.1)) - F.lit(floor))
     rest = each.join(counts, "key", "left").groupBy("number").agg(F.sum(value).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known"))
-    out = scored.drop("rare", "times").join(rest, "number", "left")
+    more = scored.select("number", F.explode("others").alias("key")).join(priced.select("key", "cost"), "key").groupBy("number").agg(F.sum("cost").alias("more"))
+    out = scored.drop("rare", "times", "others").join(rest, "number", "left").join(more, "number", "left")
     return out.select(
         "doc_id",
         held_out.alias("held_out"),
@@ -397,5 +509,5 @@ def evaluate(docs: DataFrame) -> DataFrame:
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
         (F.col("head_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
