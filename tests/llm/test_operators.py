@@ -163,6 +163,15 @@ def test_packing_plan_wastes_little():
     assert plan.sequences <= 1.05 * least + 1
 
 
+def test_packing_fills_sequences_with_short_texts(spark):
+    """Sequences are filled to single ids: empty texts are one id each."""
+    texts = spark.createDataFrame([(i, "") for i in range(5000)], "doc_id long, text string")
+    got = packing.pack(texts, tokenizer_path()).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert sorted(r[1] for r in got) == [904, 4096]
+    plan = packing.make_plan({9: 50_000}, 4096)
+    assert packing.UNIT == 1 and plan.sequences == -(-50_000 // 455)
+
+
 # 8
 
 
