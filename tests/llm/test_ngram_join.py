@@ -30,22 +30,25 @@ def brute(rows):
             x = parent[x]
         return x
 
-    holders = defaultdict(list)
+    holders, links = defaultdict(list), [0] * len(rows)
     for k, s in enumerate(sets):
         for j, n in Counter(j for x in s for j in holders[x]).items():
             if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
                 parent[find(k)] = find(j)
+                links[k] += 1
+                links[j] += 1
         for x in s:
             holders[x].append(k)
     least = {}
     for k, r in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(k) and rows[j][0] is not None]
         least[k] = min(ids, default=None)
-    return Counter((r[0], len(sets[k]), least[k] if sets[k] else r[0]) for k, r in enumerate(rows))
+    return Counter((r[0], len(sets[k]), least[k] if sets[k] else r[0], links[k]) for k, r in enumerate(rows))
 
 
 def got(df):
-    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).documents().collect())
+    rows = ngram_join.join(df).documents(links=True).collect()
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in rows)
 
 
 def test_odd_documents(odd, odd_rows):
@@ -76,6 +79,28 @@ def test_chains_copies_and_common_passages(spark, seed):
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 16, 512])
+def test_large_group_and_common_passage(spark, monkeypatch, block):
+    """A large group of near copies, some of which link to few others only, and texts that are one passage for the most part;
+    with small blocks a component is counted by several."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(40))
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [f"x{rng.randrange(10**6)}"]
+        rows.append((i, " ".join(w), "en", "s", 1))
+    for i in range(400, 700):
+        rows.append((i, f"{passage} {prose(rng, 'en', rng.randrange(0, 40))}", "en", "s", 1))
+    expected = brute(rows)
+    assert max(r[3] for r in expected) > 50
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(5)) == expected
+
+
 def test_one_of_each(odd, odd_rows):
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns

@@ -1,34 +1,37 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
 Documents with the same set are one node. Two nodes link if their sets' Jaccard similarity is at least `percent` / 100; the
-result is each document's connected component. With c = the overlap that a set of n shingles needs of any partner, two
-linked sets share k shingles among the first n - c + k of each, in any order common to all sets. The order here puts hot
-shingles (those that many prefixes hold) last, the hotter the later, others by hash. Small sets (fewer shingles than the boundary) enumerate
-all 2-subsets of that prefix for k = 2, so that a shared key is rare among unrelated texts; large sets, and the small ones
-that can link to them, stand in inverted lists of single shingles (k = 1). The boundary is where the expected cost of
-enumerating passes that of scanning the lists, from the histogram of set sizes and the mean length of the lists.
-
-A pair from the lists is a candidate only if its prefixes share as many shingles as it needs besides those that may lie
-outside them. A first round links each node to one promising partner, the likeliest centre of a group among those it shares minimum
-hashes with, and contracts what the exact check confirms. So a group of near copies is one label before the join, and only pairs across
-labels are made from the lists. Long lists are cut into chunks, and pairs of chunks go to tasks of their own; no partner
-is left out. Sizes and sketches (parities, whose difference bounds that of the sets) rule out pairs in the lists; all candidate
-pairs that are left are checked on whole sets.
+result is each document's connected component and its number of links. With o = the overlap that a pair needs, its k-th
+common shingle stands among the first n - o + k of each of its sets, in any order common to all sets. The order here puts
+hot shingles (those that many prefixes hold) last, the hotter the later, others by hash. Small sets (fewer shingles than the
+boundary) enumerate the 2-subsets of their prefix (k = 2), so that a shared key is rare among unrelated texts; large sets,
+and the small ones that can link to them, stand in inverted lists of single shingles (k = 1). The boundary is where the
+expected cost of enumerating passes that of scanning the lists, from the histogram of set sizes and the mean list length.
+
+Groups of near copies are contracted before pairs are made from the lists: in each round every list names a few pivots at
+random, each node tries those that look nearest to it, and what the exact check confirms becomes one label. Rounds go on
+while a fair share of the tries links; then all pairs across labels are made: the rows of a list that are not of its
+commonest label meet the whole list, chunk by chunk, in tasks of their own. No partner is left out. Sizes, the places of the
+shared key in both prefixes, and sketches (parities, whose difference bounds that of the sets) rule out pairs that cannot
+link; all others are checked on whole sets. Inside a component links are counted by products of incidence matrices, block
+by block: no row stands for a pair there.
 
 Shingles and sets are known by 64-bit hashes. Defined cases: null or empty texts have no shingle, and link with nothing;
-texts of fewer words than a shingle are one shingle of their own; repeated rows each get their row; a null doc_id does not
-count for the smallest id; an empty table gives no rows.
+texts of fewer words than a shingle are one shingle of their own; a text of any length is one set; repeated rows each get
+their row, and count as links of each other; a null doc_id does not count for the smallest id; columns besides doc_id and
+text are not looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -36,9 +39,13 @@ from tidegrid.llm.buffers import blocks, mix, shingle_sets, signed
 from tidegrid.llm.common import Scratch, arrow
 from tidegrid.llm.components import components
 
-SIZE, PERCENT, HASHES = 5, 80, 4
+SIZE, PERCENT = 5, 80
 #: Bits that tell hot shingles, lists' chunk size, and sizes that the cost model tells apart.
 HOT_BITS, CHUNK, MOST_SIZE = 24, 64, 4096
+#: Pivots of a list in a round, and the share of a round's tries that must link for another round.
+PIVOTS, FAIR = 4, 0.05
+#: Shingles in a block of sets whose links are counted by one product.
+BLOCK = 1 << 16
 NO_ID = -(1 << 63)
 
 
@@ -57,27 +64,23 @@ def sketch(s: np.ndarray) -> list[int]:
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, hot: np.ndarray, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), sig (the set's hash), the least hash of each of a few residue classes, the share of hot shingles
-    in the prefix by hash, and the sketch."""
+def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n (set size), sig (the set's hash) and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig, least, share, bits = [], [], [], [], []
-            for block in blocks(batch.column(1)):
-                for s in shingle_sets(block, size):
-                    n.append(len(s))
-                    sig.append(_signature(s))
-                    residue = (s >> np.uint64(8)) & np.uint64(HASHES - 1)
-                    firsts = [int(np.argmax(residue == r)) for r in range(HASHES)] if len(s) else []
-                    least.append([int(signed(s[i : i + 1])[0]) for r, i in enumerate(firsts) if int(residue[i]) == r])
-                    part = s[: len(s) - needed(len(s), percent) + 1]
-                    share.append(float((hot[(part >> np.uint64(64 - HOT_BITS)).astype(np.int64)] > 0).mean()) if len(s) else 0.0)
-                    bits.append(sketch(s))
-            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(share, pa.float64()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "least", "hot", "sketch"])
+            sets = [s for block in blocks(batch.column(1)) for s in shingle_sets(block, size)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_signature(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n", "sig", "sketch"],
+            )
 
-    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, sig long, least array<long>, hot double, sketch array<long>")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, sig long, sketch array<long>")
 
 
 def bitmap(df: DataFrame, bit: Column, bits: int) -> np.ndarray:
@@ -127,31 +130,25 @@ def wanted_ids(ids: DataFrame, bits: int = 22) -> np.ndarray:
     return bitmap(arrow(ids, run, "bit long"), F.col("bit"), bits)
 
 
+def whole_sets(sigs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """sig and shingles of the nodes that sigs names."""
+    ids = scratch.save(nodes.join(sigs, "sig", "left_semi").select("sig", "id"))
+    found = sets_of(docs, wanted_ids(ids.select("id")), size).join(ids.select("sig"), "sig", "left_semi")
+    sets = scratch.save(found.dropDuplicates(["sig"]))
+    scratch.drop(ids)
+    return sets
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, checked on whole sets; with inter (size of the intersection)."""
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    ids = scratch.save(nodes.join(ends, "sig", "left_semi").select("sig", "id"))
-    sets = scratch.save(sets_of(docs, wanted_ids(ids.select("id")), size).join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+    sets = whole_sets(ends, nodes, docs, scratch, size)
     side = lambda k: sets.select(F.col("sig").alias(k), F.col("shingles").alias(f"set_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("set_a", "set_b"))
     found = both.select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b")).alias("both"))
     out = scratch.save(found.where(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter"))).select("a", "b", "inter"))
-    scratch.drop(ids, sets)
-    return out
-
-
-def promising(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """For each node the likeliest centre of a group among those with which it has at least two least hashes in common: at
-    most a pair a node. A centre's shingles are those of its many copies, and so hot."""
-    keys = scratch.save(nodes.select("sig", "n", "hot", F.explode("least").alias("key")))
-    best = F.max(F.struct("hot", "sig", "n")).alias("pivot")
-    first = scratch.save(keys.groupBy("key").agg(best, F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "pivot"))
-    fits = percent * F.greatest("n", "pivot.n") <= 100 * F.least("n", "pivot.n")
-    shared = keys.join(first, "key").where((F.col("sig") != F.col("pivot.sig")) & fits)
-    shared = shared.groupBy("sig", F.col("pivot.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("pivot.hot").alias("h")).where("c > 1")
-    out = scratch.save(shared.groupBy(F.col("sig").alias("a")).agg(F.max(F.struct("h", "c", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    scratch.drop(keys, first)
+    scratch.drop(sets)
     return out
 
 
@@ -204,21 +201,15 @@ def boundary(sizes: dict[int, int], mean: float, percent: int = PERCENT) -> int:
 
 
 def entries(docs: DataFrame, hot: np.ndarray, border: int, size: int, percent: int) -> DataFrame:
-    """(key, sig, n, single): the prefix keys of every set; copies in one task are there once."""
+    """(key, single, sig, n, pos): the prefix keys of every set, with the place of their last shingle in the order; copies in
+    one task are there once."""
     low = needed(border, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for block in blocks(batch.column(0)):
-                keys, sigs, ns, singles = [], [], [], []
-
-                def put(k: np.ndarray, sig: int, n: int, single: bool) -> None:
-                    keys.append(k)  # noqa: B023
-                    sigs.append(sig)  # noqa: B023
-                    ns.append(n)  # noqa: B023
-                    singles.append(single)  # noqa: B023
-
+                keys, places, each = [], [], []
                 for s in shingle_sets(block, size):
                     n = len(s)
                     if not n or (sig := _signature(s)) in seen:
@@ -230,67 +221,198 @@ def entries(docs: DataFrame, hot: np.ndarray, border: int, size: int, percent: i
                     if len(order) < p + 2:
                         order = s[np.argsort(level, kind="stable")[: p + 2]]
                     if n >= low:
-                        put(order[: p + 1], sig, n, True)
+                        keys.append(order[: p + 1])
+                        places.append(np.arange(p + 1))
+                        each.append((sig, n, True, p + 1))
                     if n < border and n > 1:
                         i, j = np.triu_indices(min(n, p + 2), 1)
                         a, b = np.minimum(order[i], order[j]), np.maximum(order[i], order[j])
-                        put(mix(a * np.uint64(0x9E3779B97F4A7C15) + b), sig, n, False)
+                        keys.append(mix(a * np.uint64(0x9E3779B97F4A7C15) + b))
+                        places.append(j)
+                        each.append((sig, n, False, len(i)))
                 if keys:
-                    m = [len(k) for k in keys]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs, np.int64), m)), pa.array(np.repeat(np.array(ns, np.int64), m)), pa.array(np.repeat(np.array(singles), m))],
-                        names=["key", "sig", "n", "single"],
-                    )
+                    sig, n, single, times = (np.array(c) for c in zip(*each, strict=True))
+                    columns = [
+                        pa.array(signed(np.concatenate(keys))),
+                        pa.array(np.repeat(single, times)),
+                        pa.array(np.repeat(sig, times)),
+                        pa.array(np.repeat(n, times).astype(np.int32)),
+                        pa.array(np.concatenate(places).astype(np.int32)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "single", "sig", "n", "pos"])
+
+    return arrow(docs.select("text"), run, "key long, single boolean, sig long, n int, pos int")
+
+
+def overlap(a: str, b: str, percent: int) -> Column:
+    """The intersection that sets of these sizes need."""
+    return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")
+
+
+def alike(sketch_a: Column, sketch_b: Column, n_a: Column, n_b: Column, needs: Column, percent: int) -> tuple[Column, Column]:
+    """Whether sizes and sketches let sets link, and how many bits of the sketches differ."""
+    apart = sum((F.bit_count(sketch_a[i].bitwiseXOR(sketch_b[i])) for i in range(4)), F.lit(0))
+    fits = percent * F.greatest(n_a, n_b) <= 100 * F.least(n_a, n_b)
+    return fits & (apart <= n_a + n_b - 2 * needs), apart
+
+
+def mixed(lists: DataFrame, scratch: Scratch, *columns: Column) -> DataFrame:
+    """The keys whose rows have several labels, with these aggregates."""
+    several = F.min("label").alias("lo"), F.max("label").alias("hi")
+    return scratch.save(lists.groupBy("key", "single").agg(*several, *columns).where("lo <> hi").drop("lo", "hi"))
+
+
+def tries(lists: DataFrame, scratch: Scratch, turn: int, percent: int) -> DataFrame:
+    """Of each node the pivots of its lists that look nearest to it, of another label: at most PIVOTS pairs (a, b) a node."""
+    row = F.struct("sig", "n", "label", "sketch")
+    pivots = F.array(*[F.min_by(row, F.xxhash64("sig", "key", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)])
+    by_key = mixed(lists, scratch, pivots.alias("pivots"))
+    met = lists.join(by_key, ["key", "single"]).select("sig", "n", "label", "sketch", F.posexplode("pivots").alias("i", "to"))
+    met = met.where("label <> to.label")
+    near, apart = alike(F.col("sketch"), F.col("to.sketch"), F.col("n"), F.col("to.n"), overlap("n", "to.n", percent), percent)
+    share = apart / (F.col("n") + F.col("to.n"))
+    best = met.where(near).groupBy("sig", "i").agg(F.min(F.struct(share.alias("share"), F.col("to.sig").alias("b"), F.col("label").alias("from"), F.col("to.label").alias("to"))).alias("best"))
+    out = scratch.save(best.select(F.col("sig").alias("a"), "best.b", "best.from", "best.to").distinct())
+    scratch.drop(by_key)
+    return out
+
 
-    return arrow(docs.select("text"), run, "key long, sig long, n long, single boolean")
+def contracted(lists: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The lists (key, single, sig, n, pos, sketch) with a label a node, and the links that the labels come from."""
+    lists, links, turn = lists.withColumn("label", F.col("sig")), [], 0
+    while True:
+        tried = tries(lists, scratch, turn, percent)
+        n = tried.count()
+        if not n:
+            scratch.drop(tried)
+            return lists, links
+        found = linked(tried, nodes, docs, scratch, size, percent)
+        links.append(found)
+        edges = tried.join(found.select("a", "b"), ["a", "b"], "left_semi").select(F.col("from").alias("a"), F.col("to").alias("b"))
+        labels = components(edges, scratch)
+        scratch.drop(tried)
+        newer = lists.withColumnRenamed("label", "node").join(labels, "node", "left")
+        newer = scratch.save(newer.withColumn("label", F.coalesce("label", "node")).drop("node"))
+        if turn:
+            scratch.drop(lists)
+        lists, turn = newer, turn + 1
+        if found.count() < FAIR * n:
+            return lists, links
+
+
+def across(lists: DataFrame, scratch: Scratch, border: int, percent: int) -> DataFrame:
+    """Pairs of nodes (a < b) that share a key but no label, and that sizes, places and sketches let link.
+
+    lists: key, single, sig, n, pos, label, sketch. The rows of a list that are not of its commonest label meet its chunks.
+    """
+    by_label = lists.groupBy("key", "single", "label").agg(F.count(F.lit(1)).alias("c"))
+    by_key = by_label.groupBy("key", "single").agg(F.max_by("label", "c").alias("common"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels"))
+    by_key = scratch.save(by_key.where("labels > 1").select("key", "single", "common", F.ceil(F.col("c") / CHUNK).cast("int").alias("m")))
+    rows = scratch.save(lists.join(by_key, ["key", "single"]).withColumn("x", F.pmod(F.xxhash64("sig"), F.col("m")).cast("int")))
+    named = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "pos", "label", "sketch")]
+    left = rows.where("label <> common").select("key", "single", *named("a"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    right = rows.select("key", "single", *named("b"), "common", "x")
+    needs = overlap("n_a", "n_b", percent)
+    # the first common key of a pair that links stands early enough in both
+    late = F.when(F.col("single"), 0).otherwise(1)
+    early = (F.col("pos_a") <= F.col("n_a") - needs + late) & (F.col("pos_b") <= F.col("n_b") - needs + late)
+    large = ~F.col("single") | (F.greatest("n_a", "n_b") >= border)
+    other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("common")) | (F.col("sig_a") < F.col("sig_b")))
+    near, _ = alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), needs, percent)
+    met = left.join(right, ["key", "single", "x"]).where(other & early & large & near)
+    pairs = scratch.save(met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct())
+    scratch.drop(by_key, rows)
+    return pairs
 
 
-def across(lists: DataFrame, border: int, percent: int) -> DataFrame:
-    """Pairs of nodes (a < b) that share a key but no label, and that sizes, prefixes and sketches let link.
+def count_links(members: DataFrame, percent: int) -> DataFrame:
+    """sig and links: to how many documents of its component's other sets a set links.
 
-    lists: key, single, sig, n, label, sketch. Cells of chunk by chunk are tasks' work; what cannot link is left out there.
+    members: component, sig, copies, shingles. A component of more than BLOCK shingles is cut into blocks by the sets' hash; each
+    two blocks are a task's work, and so is a bucket of small components. The product of a block's incidence matrix with
+    another's holds all intersections, so no pair is ever a row.
     """
-    by_key = Window.partitionBy("key", "single")
-    mixed = lists.withColumns({"lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key), "c": F.count(F.lit(1)).over(by_key)}).where("lo <> hi")
-    mixed = mixed.withColumn("m", F.ceil(F.col("c") / CHUNK).cast("int")).withColumn("x", F.pmod(F.xxhash64("sig"), F.col("m")).cast("int"))
-    rows = mixed.select("key", "single", "sig", "n", "label", "sketch", "x", "m")
-    to = F.sequence(F.col("x"), F.col("m") - 1)
-    back = F.sequence(F.lit(0), F.col("x"))
-    named = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "label", "sketch")]
-    left = rows.select("key", "single", *named("a"), F.col("x").alias("i"), F.explode(to).alias("j"))
-    right = rows.select("key", "single", *named("b"), F.explode(back).alias("i"), F.col("x").alias("j"))
-    fits = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
-    large = ~F.col("single") | (F.greatest("n_a", "n_b") >= border)
-    overlap = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
-    apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(4)), F.lit(0))
-    near = apart <= F.col("n_a") + F.col("n_b") - 2 * overlap
-    other = (F.col("label_a") != F.col("label_b")) & ((F.col("i") != F.col("j")) | (F.col("sig_a") < F.col("sig_b")))
-    met = left.join(right, ["key", "single", "i", "j"]).where(other & fits & large & near)
-    # of two sets' common shingles, those outside the prefixes are at most as many as one set has there; so so many are inside
-    outside = lambda n: F.expr(f"(({percent} * {n} + 99) div 100) - 1")
-    swap = F.col("sig_a") < F.col("sig_b")
-    pairs = met.groupBy(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"), "single").agg(
-        F.count(F.lit(1)).alias("common"), F.max(F.when(swap, F.col("n_a")).otherwise(F.col("n_b"))).alias("n_a"), F.max(F.when(swap, F.col("n_b")).otherwise(F.col("n_a"))).alias("n_b")
-    )
-    enough = F.col("common") >= overlap - F.greatest(outside("n_a"), outside("n_b"))
-    return pairs.where(~F.col("single") | enough).select("a", "b").distinct()
+    sized = members.groupBy("component").agg(F.sum(F.size("shingles")).alias("size"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    whole = members.join(sized, "component")
+    small = whole.where(F.col("size") <= BLOCK)
+    total = sized.where(F.col("size") <= BLOCK).agg(F.sum("size").alias("s")).head()["s"] or 0
+    bucket = F.pmod(F.xxhash64("component"), F.lit(max(1, int(total) // BLOCK))).cast("int")
+    kept = ["component", "sig", "copies", "shingles"]
+    one = small.select(*kept, bucket.cast("long").alias("at"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("x"))
+    m = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = whole.where(F.col("size") > BLOCK).withColumn("m", m).withColumn("x", F.pmod(F.xxhash64("sig"), F.col("m")).cast("int"))
+    cells = cut.select(*kept, F.col("component").alias("at"), "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
+    large = cells.select(*kept, "at", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x")
+
+    def count(table: pa.Table) -> pa.Table:
+        sig, copies = table.column("sig").to_numpy(), table.column("copies").to_numpy().astype(float)
+        lists = table.column("shingles").combine_chunks()
+        offsets, value = lists.offsets.to_numpy(), lists.values.to_numpy()
+        n = np.diff(offsets)
+        # columns of the incidence matrix are the distinct shingles of a component's rows
+        component, i, j, x = (table.column(c).to_numpy() for c in ("component", "i", "j", "x"))
+        links = np.zeros(len(sig))
+        order = np.argsort(component, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(component[order])) + 1) if len(order) else []:
+            parts = [value[offsets[r] : offsets[r + 1]] for r in at]
+            column = np.unique(np.concatenate(parts), return_inverse=True)[1]
+            row = np.repeat(np.arange(len(at)), n[at])
+            firsts = np.flatnonzero(x[at] == i[at]) if i[at[0]] >= 0 else np.arange(len(at))
+            others = np.flatnonzero(x[at] == j[at]) if i[at[0]] >= 0 else firsts
+            inter = np.zeros((len(firsts), len(others)), dtype=np.float32)
+            side = [np.full(len(at), -1), np.full(len(at), -1)]
+            side[0][firsts], side[1][others] = np.arange(len(firsts)), np.arange(len(others))
+            for low in range(0, int(column.max()) + 1, 1 << 12):  # some columns at a time
+                held = (column >= low) & (column < low + (1 << 12))
+                dense = []
+                for k, size in ((0, len(firsts)), (1, len(others))):
+                    mine = side[k][row]
+                    ok = held & (mine >= 0)
+                    matrix = np.zeros((size, 1 << 12), dtype=np.float32)
+                    matrix[mine[ok], column[ok] - low] = 1
+                    dense.append(matrix)
+                inter += dense[0] @ dense[1].T
+            both = n[at[firsts]][:, None] + n[at[others]][None, :]
+            link = 100 * inter.astype(np.int64) >= percent * (both - inter.astype(np.int64))
+            link &= sig[at[firsts]][:, None] != sig[at[others]][None, :]
+            links[at[firsts]] += link @ copies[at[others]]
+            if len(firsts) and len(others) and i[at[0]] != j[at[0]]:
+                links[at[others]] += link.T @ copies[at[firsts]]
+        return pa.table({"sig": pa.array(sig), "links": pa.array(links.astype(np.int64))})
+
+    cells = one.unionByName(large).groupBy("at", "i", "j").applyInArrow(count, "sig long, links long")
+    return cells.groupBy("sig").agg(F.sum("links").alias("links"))
 
 
 @dataclass
 class Join:
-    """base: doc_id, n, sig of each document; nodes: sig, n, id, rep; final: sig, component_id, keeper (the sig that stands for
-    the component: that of its smallest id); links: confirmed links (a, b, inter) that connect every component (those inside
-    what the first round has joined are not all listed)."""
+    """base: doc_id, n, sig of each document; nodes: sig, n, id, rep, copies; final: sig, component_id, keeper (the sig that stands
+    for the component: that of its smallest id); links: confirmed links (a, b, inter) that connect every component."""
 
     base: DataFrame
     nodes: DataFrame
     final: DataFrame
     links: DataFrame
-
-    def documents(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every document."""
-        filled = self.base.where("n > 0").join(self.final, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return filled.unionByName(self.base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    docs: DataFrame
+    scratch: Scratch
+    size: int
+    percent: int
+
+    def documents(self, links: bool = False) -> DataFrame:
+        """doc_id, n_shingles, component_id for every document, and with `links` n_links: how many other documents it links to."""
+        told = self.final.select("sig", "component_id")
+        if links:
+            more = self.final.withColumnRenamed("keeper", "component").join(self.nodes.select("sig", "copies"), "sig")
+            groups = self.scratch.save(more.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component"))
+            members = self.scratch.save(more.join(groups, "component").select("sig", "component", "copies"))
+            sets = whole_sets(members.select("sig"), self.nodes, self.docs, self.scratch, self.size)
+            counted = self.scratch.save(count_links(members.join(sets, "sig"), self.percent))
+            self.scratch.drop(groups, members, sets)
+            told = told.join(self.nodes.select("sig", "copies"), "sig").join(counted, "sig", "left")
+            told = told.select("sig", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        filled = self.base.where("n > 0").join(told, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), *told.columns[1:])
+        none = [F.lit(0).cast("long").alias("n_links")] if links else []
+        return filled.unionByName(self.base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none))
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Join:
@@ -300,30 +422,35 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Join:
     counts = scratch.save(prefix_counts(docs, size, percent).where("c > 1"))
     hot, mean = hot_and_cost(counts)
     scratch.drop(counts)
-    base = scratch.save(signatures(docs, hot, size, percent))
-    ids = [F.max("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.min("doc_id").alias("rep")]
-    nodes = scratch.save(base.where("n > 0").groupBy("sig").agg(*ids, *[F.first(c).alias(c) for c in ("least", "hot", "sketch")]))
-    star = linked(promising(nodes, scratch, percent), nodes, docs, scratch, size, percent)
-    labels = components(star, scratch)
+    marked = scratch.save(signatures(docs, size))
+    copies = F.count(F.lit(1)).alias("copies")
+    ids = [F.max("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")]
+    nodes = scratch.save(marked.where("n > 0").groupBy("sig").agg(*ids, copies))
+    base = scratch.save(marked.select("doc_id", "n", "sig"))
+    scratch.drop(marked)
     sizes = {r["n"]: r["c"] for r in nodes.groupBy(F.least("n", F.lit(MOST_SIZE)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     border = boundary(sizes, mean, percent)
-    by_key = Window.partitionBy("key", "single")
-    several = entries(docs, hot, border, size, percent).withColumns({"lo": F.min("sig").over(by_key), "hi": F.max("sig").over(by_key)}).where("lo <> hi").drop("lo", "hi")
-    several = scratch.save(several.distinct())
-    lists = several.join(nodes.select("sig", "sketch"), "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    pairs = scratch.save(across(lists, border, percent))
+    every = scratch.save(entries(docs, hot, border, size, percent))
+    ends = F.min("sig").alias("lo"), F.max("sig").alias("hi")
+    shared = scratch.save(every.groupBy("key", "single").agg(*ends).where("lo <> hi").select("key", "single"))
+    several = scratch.save(every.join(shared, ["key", "single"]).distinct())
+    scratch.drop(every, shared)
+    lists = scratch.save(several.join(nodes.select("sig", "sketch"), "sig"))
     scratch.drop(several)
-    more = linked(pairs, nodes, docs, scratch, size, percent)
+    labelled, links = contracted(lists, nodes, docs, scratch, size, percent)
+    pairs = across(labelled, scratch, border, percent)
+    scratch.drop(lists, *([labelled] if links else []))
+    links.append(linked(pairs, nodes, docs, scratch, size, percent))
     scratch.drop(pairs)
-    at = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"to_{k}"))
-    lifted = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
-    upper = components(lifted, scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    full = nodes.select("sig", "rep").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    full = scratch.save(full.join(upper, "label", "left").select("sig", "rep", F.coalesce("top", "label").alias("label")))
+    confirmed = reduce(DataFrame.unionByName, links)
+    labels = components(confirmed, scratch)
+    full = nodes.select("sig", "rep").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    full = scratch.save(full.select("sig", "rep", F.coalesce("label", "sig").alias("label")))
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "sig")).alias("first")
     least = scratch.save(full.groupBy("label").agg(first).select("label", F.col("first.rep").alias("component_id"), F.col("first.sig").alias("keeper")))
     final = scratch.save(full.join(least, "label").select("sig", "component_id", "keeper"))
-    return Join(base, nodes, final, star.unionByName(more))
+    scratch.drop(full, least)
+    return Join(base, nodes, final, confirmed, docs, scratch, size, percent)
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

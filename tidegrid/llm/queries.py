@@ -18,7 +18,7 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text")).documents()
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text")).documents(links=True)
 
 
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
