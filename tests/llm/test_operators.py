@@ -1,5 +1,6 @@
 """The other operators against plain versions of themselves, and on odd rows."""
 
+import itertools
 import math
 import re
 import zlib
@@ -149,6 +150,25 @@ def test_packing_is_a_round_trip(spark, odd, none, odd_rows):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_ids_of_any_vocabulary_file(tmp_path, odd_rows):
+    """Word by word where the file says that words are apart, else by whole texts: the ids are the library's own."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from tidegrid.llm.tokens import WordIds
+
+    assert WordIds(tokenizer_path()).by_word
+    told = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    told["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(told), encoding="utf-8")
+    other, ids = Tokenizer.from_file(str(tmp_path / "other.json")), WordIds(str(tmp_path / "other.json"))
+    assert not ids.by_word
+    for r in odd_rows:
+        if r[1] is not None and len(r[1]) < 10_000:
+            assert np.frombuffer(ids.text(r[1]), "<u4").tolist() == other.encode(r[1], add_special_tokens=False).ids
+
+
 def test_packing_plan_wastes_little():
     rng = np.random.default_rng(2)
     demand = dict(Counter(rng.integers(1, 512, 4000).tolist()))
@@ -160,7 +180,35 @@ def test_packing_plan_wastes_little():
             packed[u] += times * n
     assert packed == demand
     least = max(sum(u * n for u, n in demand.items()) / 512, sum(n for u, n in demand.items() if u > 256))
-    assert plan.sequences <= 1.05 * least + 1
+    assert plan.sequences <= 1.005 * least + 1 and plan.by_program >= 0.95 * sum(demand.values())
+
+
+def test_column_generation_betters_what_filling_finds():
+    """Lengths between a sixth and two fifths of a sequence: filling is above the bound, the program comes close to it."""
+    rng = np.random.default_rng(5)
+    demand = dict(Counter(rng.integers(90, 210, 6000).tolist()))
+    first = packing.fill_all(demand, 512)
+    program = packing.column_generation(demand, 512, first)
+    packed = Counter()
+    for x, pattern in program.patterns:
+        assert x > 0 and sum(u * n for u, n in pattern.items()) <= 512
+        for u, n in pattern.items():
+            packed[u] += x * n
+    assert all(packed[u] >= n - 1e-3 * n for u, n in demand.items())
+    assert program.bound <= program.value < sum(n for n, _, _ in first) and program.value <= 1.002 * program.bound
+    plan = packing.make_plan(demand, 512)
+    assert plan.sequences <= sum(n for n, _, _ in first) and plan.by_program >= 0.95 * sum(demand.values())
+
+
+def test_knapsack_is_optimal():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        classes = sorted(set(rng.integers(1, 12, 4).tolist()))
+        price = rng.random(len(classes))
+        best = max(sum(p * k for p, k in zip(price, ks)) for ks in itertools.product(*[range(13 // c + 1) for c in classes]) if sum(c * k for c, k in zip(classes, ks)) <= 13)
+        worth, pattern = packing.knapsack(price, classes, 13)
+        assert worth == pytest.approx(best) and sum(c * k for c, k in pattern.items()) <= 13
+        assert sum(price[classes.index(c)] * k for c, k in pattern.items()) == pytest.approx(best)
 
 
 def test_packing_fills_sequences_with_short_texts(spark):
