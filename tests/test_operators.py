@@ -81,6 +81,17 @@ def test_grid_request():
     )
     assert spec["groupBy"] == ["ccy"] and spec["filter"][0] == {"column": "desk", "op": "equals", "value": "EM"} and spec["filter"][1]["op"] == "or" and len(spec["filter"]) == 4
     assert unsupported == ["px: contains (number)"]
+    date = lambda entry, low, high=None: {"filterType": "date", "type": entry, "dateFrom": low, "dateTo": high}
+    ms = 86_400_000
+    made = lambda model: view_request({"filterModel": {"d": model}}, (), ["d"])
+    assert made(date("equals", "1970-01-02 10:00:00"))[0]["filter"] == [{"column": "d", "op": "greaterThanOrEqual", "value": ms}, {"column": "d", "op": "lessThan", "value": 2 * ms}]
+    assert made(date("greaterThan", "1970-01-02"))[0]["filter"] == [{"column": "d", "op": "greaterThanOrEqual", "value": 2 * ms}]
+    either = made({"operator": "OR", "conditions": [date("equals", "1970-01-01"), date("blank", None)]})
+    assert either == ({"filter": [{"op": "or", "conditions": [{"column": "d", "op": "inRange", "value": 0, "valueTo": ms - 1}, {"column": "d", "op": "blank"}]}], "sort": []}, [])
+    assert made(date("lessThan", "soon"))[1] == ["d: lessThan needs a day"] and made(date("inRange", "1970-01-01", "1970-01-02"))[0]["filter"][1]["value"] == 2 * ms
+    both = made({"filterModels": [None, {"filterType": "set", "values": [None, "A", 1]}]})[0]["filter"]
+    assert both == [{"op": "or", "conditions": [{"column": "d", "op": "blank"}, {"column": "d", "op": "equalsIgnoreCase", "value": "A"}, {"column": "d", "op": "equals", "value": 1}]}]
+    assert made({"filterType": "set", "values": []})[0]["filter"] == [{"column": "d", "op": "in", "value": []}]
     assert refresh_routes([("a", "b"), ("a", "c"), ("d",)]) == [["a"], []] and mode(10) == ("client",)
 
 

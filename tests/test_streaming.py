@@ -124,6 +124,18 @@ def test_flow():
     assert [s.offer({"k": i}, 0.0)[0] for i in range(5)] == ["send"] * 4 + ["hold"]
     s.ack(4)
     assert s.offer({"j": 1}, 1.0) == ("send", {"k": 4, "j": 1})
+    # who never acknowledges climbs every rung: merged rows now and then, one refresh, silence, the end
+    s, said = Subscriber(limit=10), []
+    for i in range(600):
+        action, out = s.offer({f"k{i % 7}": i}, i * 0.1)
+        said.append(action)
+        assert len(s.held) <= 7 and (action == "send") == bool(out)
+    once = [a for a, b in zip(said, [None, *said], strict=False) if a != b]
+    assert said[:4] == ["send"] * 4 and said.count("send") == 8 and said.count("refresh") == 1 and once[-1] == "drop"
+    began, ended = said.index("refresh"), said.index("drop")
+    assert set(said[began + 1 : ended]) == {"hold"} and (ended - began) * 0.1 == pytest.approx(30, abs=0.11)
+    s.ack(8)
+    assert s.offer({"z": 1}, 61.0)[0] == "send" and s.state == "none"
     feed = Feed()
     feed.go("connecting")
     feed.go("snapshotting")
@@ -161,6 +173,31 @@ def test_feed_source(spark):
     assert feeds.rows_of({"data": [1], "n": 1}, None) == [1] and feeds.rows_of({"a": {"b": [2]}}, "a.b") == [2]
 
 
+def test_feed_source_after_a_restart(tmp_path):
+    coming = [json.dumps({"n": i}) for i in range(6)]
+    queue = iter([*coming[:3], None, *coming[3:], None])
+    feeds.OPENERS["ws"] = lambda options: lambda: next(queue, None)
+    options = {"kind": "ws", "log": str(tmp_path / "log")}
+    first = feeds.FeedReader(options)
+    rows, at = first.read({"n": 0})
+    assert [r[0] for r in rows] == [0, 1, 2] and at == {"n": 3}
+    # a batch that was planned and not committed comes again from the log; numbers go on
+    second = feeds.FeedReader(options)
+    assert [r[0] for r in second.readBetweenOffsets({"n": 0}, {"n": 3})] == [0, 1, 2]
+    second.commit({"n": 3})
+    rows, at = second.read({"n": 3})
+    assert [(r[0], json.loads(r[1])["n"]) for r in rows] == [(3, 3), (4, 4), (5, 5)] and at == {"n": 6}
+    second.commit({"n": 6})
+    assert list((tmp_path / "log").iterdir()) == []
+    # without a log numbers go on from the offset, and what is lost is told
+    queue = iter([coming[0], None])
+    third = feeds.FeedReader({"kind": "ws"})
+    rows, at = third.read({"n": 6})
+    assert [r[0] for r in rows] == [6] and at == {"n": 7}
+    with pytest.raises(LookupError):
+        third.readBetweenOffsets({"n": 4}, {"n": 6})
+
+
 def test_flatten_and_coerce(spark):
     body = json.dumps([{"id": "1", "risk": {"dv01": 2.5}, "legs": [{"r": "a"}, {"r": "b"}], "price": "99-16+", "q": "n/a"}, {"id": "2", "risk": None, "legs": [], "price": "-1-08", "q": "7.9"}])
     df = flatten.body_rows(spark.createDataFrame([(body,), ("nope",)], "b string"), "b", "id string, risk struct<dv01: double>, legs array<struct<r: string>>, price string, q string")

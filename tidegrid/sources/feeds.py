@@ -6,6 +6,7 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
+from pathlib import Path
 from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +126,9 @@ def greeting(kind: str, options: Mapping[str, str]) -> list[str]:
 
 
 class FeedReader(SimpleDataSourceStreamReader):
-    """Messages by number. What was handed out stays until it is committed, so that a batch can be read again."""
+    """Messages by number. What was handed out stays until it is committed, so that a batch can be read again; with the option
+    `log` (a folder that outlives the driver, a stream's own) it stays there, so that this holds after a restart too.
+    Without it, messages handed out and not committed before a restart can only be had from the feed's own snapshot."""
 
     def __init__(self, options: Mapping[str, str]) -> None:
         self.options = dict(options)
@@ -136,6 +139,12 @@ class FeedReader(SimpleDataSourceStreamReader):
         self.frames = StompReader()
         self.kept: dict[int, tuple] = {}
         self.count = 0
+        self.log = Path(self.options["log"]) if "log" in self.options else None
+        if self.log:
+            self.log.mkdir(parents=True, exist_ok=True)
+            for file in sorted(self.log.glob("*.json")):
+                self.kept |= {row[0]: tuple(row) for row in json.loads(file.read_text(encoding="utf-8"))}
+            self.count = max(self.kept, default=-1) + 1
         self.end = SnapshotEnd(self.options.get("endMode", "stream-end"), self.options.get("endHeader"), self.options.get("endValue"))
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -143,19 +152,37 @@ class FeedReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         texts, most = [], int(self.options.get("maxMessages", "1000"))
+        first = self.count = max(self.count, start["n"])
         while len(texts) < most and (t := self.next_text()) is not None:
             texts.append(t)
         for body, headers in messages(self.kind, texts, self.frames):
             self.kept[self.count] = (self.count, body, headers, self.end(body, json.loads(headers)))
             self.count += 1
-        return iter([self.kept[i] for i in range(start["n"], self.count)]), {"n": self.count}
+        if self.log and first < self.count:
+            part = self.log / f"{first:020d}.part"
+            part.write_text(json.dumps([self.kept[i] for i in range(first, self.count)]), encoding="utf-8")
+            part.rename(part.with_suffix(".json"))
+        return self._between(start["n"], self.count), {"n": self.count}
+
+    def _between(self, start: int, end: int) -> Iterator[tuple]:
+        missing = [i for i in range(start, end) if i not in self.kept]
+        if missing:
+            raise LookupError(f"messages {missing[0]} to {missing[-1]} were not kept over a restart: set the option log, or start from a new snapshot")
+        return iter([self.kept[i] for i in range(start, end)])
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([self.kept[i] for i in range(start["n"], end["n"])])
+        return self._between(start["n"], end["n"])
 
     def commit(self, end: dict) -> None:
         for i in [i for i in self.kept if i < end["n"]]:
             del self.kept[i]
+        if self.log:
+            # a file goes when all its messages are committed: when the next one begins at or before the end
+            files = sorted(self.log.glob("*.json"))
+            nexts = [*(int(f.stem) for f in files[1:]), self.count]
+            for file, until in zip(files, nexts, strict=True):
+                if until <= end["n"]:
+                    file.unlink()
 
 
 class FeedSource(DataSource):

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 #: Shares of the limit of unacknowledged messages at which each step begins.
 LADDER = ((1.0, "disconnect"), (0.75, "refresh"), (0.4, "conflate"))
 STUCK_S = 30.0
+#: While conflating, merged rows go out so often.
+CONFLATE_S = 0.25
 
 
 @dataclass
@@ -20,30 +22,39 @@ class Subscriber:
     held: dict[str, object] = field(default_factory=dict)
     state: str = "none"
     stuck_since: float | None = None
+    flushed: float | None = None
 
     def ack(self, seq: int) -> None:
-        if seq > self.acked:
-            self.acked, self.stuck_since = min(seq, self.sent), None
+        self.acked = max(self.acked, min(seq, self.sent))
 
     def offer(self, rows: dict[str, object], now: float) -> tuple[str, dict[str, object]]:
         """(action, rows to send). Rows by key: held ones give way to newer ones."""
         lag = (self.sent - self.acked) / self.limit
         self.state = next((s for share, s in LADDER if lag >= share), "none")
-        if lag > 0 and self.stuck_since is None:
-            self.stuck_since = now
-        if self.state == "disconnect" or (self.state == "refresh" and self.stuck_since is not None and now - self.stuck_since >= STUCK_S):
-            self.state = "disconnect"
-            return "drop", {}
-        if self.state == "refresh":
-            self.held.clear()
-            return "refresh", {}
+        if self.state in ("refresh", "disconnect"):
+            return self._lost(now), {}
+        self.stuck_since = None
         self.held |= rows
-        if self.state == "conflate":
+        if self.state == "none":
+            self.flushed = None
+        elif self.flushed is None or now - self.flushed < CONFLATE_S:
+            self.flushed = now if self.flushed is None else self.flushed
             return "hold", {}
+        else:
+            self.flushed = now
         out, self.held = self.held, {}
         self.sent += 1
         return "send", out
 
+    def _lost(self, now: float) -> str:
+        """Rows are of no use to who is so far behind: one refresh, then nothing, and an end if that lasts."""
+        self.held = {}
+        entered = self.stuck_since is None
+        self.stuck_since = now if entered else self.stuck_since
+        if now - self.stuck_since >= STUCK_S:
+            self.state = "disconnect"
+        return "drop" if self.state == "disconnect" else "refresh" if entered else "hold"
+
 
 #: The states of a feed and where each can go.
 LIFE = {
