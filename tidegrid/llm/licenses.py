@@ -11,6 +11,7 @@ repeated rows each get their row.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,10 +63,26 @@ def _pattern(notice: str, e: int) -> regex.Pattern:
 
 
 @lru_cache(maxsize=1 << 16)
-def verify(notice: str, e: int, window: str) -> tuple[int, int, int] | None:
-    """Span and edits of the notice's best match of whole words in a window."""
-    m = _pattern(notice, e).search(window)
-    return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+def verify(notice: str, e: int, window: str) -> tuple[tuple[int, int, int], ...]:
+    """Spans and edits of the notice's matches of whole words in a window: the best one, then those before it and after it."""
+    out, parts = [], [(0, len(window))]
+    while parts:
+        lo, hi = parts.pop()
+        m = _pattern(notice, e).search(window, lo, hi) if hi - lo >= len(notice) - e else None
+        if m:
+            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            parts += [(lo, m.start()), (m.end(), hi)]
+    return tuple(out)
+
+
+def apart(found: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Of (last word, edits) by first word those that don't overlap, in their order: fewest edits first, then the first place."""
+    kept: list[tuple[int, int, int]] = []
+    for first, (last, n) in sorted(found.items(), key=lambda f: (f[1][1], f[0])):
+        at = bisect_left(kept, (first, last, n))
+        if (at == 0 or kept[at - 1][1] < first) and (at == len(kept) or kept[at][0] > last):
+            kept.insert(at, (first, last, n))
+    return kept
 
 
 def normal(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,8 +130,7 @@ def fuzzy(block: Block, notices: dict[str, str]) -> dict[int, list[tuple[str, st
             for lo, hi in windows:
                 raw = whole[lo:hi].rstrip()
                 window = raw.decode("utf-8", "replace")
-                hit = verify(notice, e, window)
-                if hit:
+                for hit in verify(notice, e, window):
                     a = lo + len(window[: hit[0]].encode())
                     b = lo + len(window[: hit[1]].encode())
                     base = int(np.searchsorted(starts, begins[d]))
@@ -122,11 +138,7 @@ def fuzzy(block: Block, notices: dict[str, str]) -> dict[int, list[tuple[str, st
                     last = int(np.searchsorted(starts, b - 1, side="right")) - 1 - base
                     if first not in found or found[first][1] > hit[2]:
                         found[first] = (last, hit[2])
-            reach = -1
-            for first, (last, n) in sorted(found.items()):
-                if first > reach:
-                    out.setdefault(d, []).append((label, notice, first, last, n))
-                    reach = last
+            out.setdefault(d, []).extend((label, notice, first, last, n) for first, last, n in apart(found))
     return out
 
 
