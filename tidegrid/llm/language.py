@@ -108,7 +108,8 @@ def fit(docs: DataFrame, most: int = MOST) -> Model | None:
             bits = [np.packbits(row).tobytes() for block in blocks(text, 1 << 18) for row in presence(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
-    got = arrow(rows, extract, "doc_id long, lang string, bits binary").toArrow()
+    # one row an id, chosen on the executors: repeated rows never go to the driver
+    got = arrow(rows, extract, "doc_id long, lang string, bits binary").groupBy("doc_id").agg(F.min(F.struct("lang", "bits")).alias("r")).select("doc_id", "r.*").toArrow()
     if not got.num_rows:
         return None
     # landmarks are the first of each language in this order: that of a hash of the id

@@ -107,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
                     seconds.append(np.packbits(s[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(pa.float64())), pa.array(sets, pa.binary()), batch.column(2).cast(pa.int32())], names=["doc_id", "x", "words", "y"])
 
-    rows = arrow(training_rows(docs, labels, "toxic", train, most), extract, "doc_id long, x array<double>, words binary, y int").toArrow().sort_by("doc_id")
+    # one row an id, chosen on the executors: repeated rows never go to the driver
+    rows = arrow(training_rows(docs, labels, "toxic", train, most), extract, "doc_id long, x array<double>, words binary, y int")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "words", "y")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), fit_trees(np.zeros((0, 1)), np.zeros(0)), Isotonic(np.zeros(0), np.zeros(0)), float(y.mean()) if len(y) else 0.0)
