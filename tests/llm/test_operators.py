@@ -59,6 +59,29 @@ def test_license_base_and_fuzzy(spark, odd, odd_rows):
     assert Counter((r["doc_id"], r["n_words"]) for r in licenses.scan(odd).collect()) == want
 
 
+def test_every_fuzzy_place_is_told(spark):
+    """All places of a notice, the inexact ones beside exact ones too; base columns against a plain count."""
+    docs = spark.createDataFrame([(1, "mit licenze mit license"), (2, "apache licenze, apache license and apache licence"), (3, "mit license x mit licens")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in r["spans"]] for r in licenses.scan(docs).collect()}
+    assert got[1] == [("mit", 0, 1, 1), ("mit", 2, 3, 0)] and got[3] == [("mit", 0, 1, 0), ("mit", 3, 4, 1)]
+    assert got[2] == [("apache", 0, 1, 1), ("apache", 2, 3, 0), ("apache", 5, 6, 1)]
+
+
+def test_license_base_against_a_plain_scan(spark):
+    import random
+
+    rng, parts = random.Random(8), ["MIT", "License", "apache", "general", "public", "license", "the", "-", "é", "\n"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(0, 40))) for _ in range(300)]
+    phrases = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        w = alnum(text)
+        places = [(at, label) for p, label in phrases.items() for at in range(len(w)) if w[at : at + len(p.split())] == p.split()]
+        starts = [at for at, _ in places]
+        want = (len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})))
+        assert tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == want
+
+
 @pytest.mark.parametrize("notice", list(licenses.NOTICES))
 def test_every_notice_with_its_edits_is_found(notice):
     import random
@@ -127,6 +150,30 @@ def test_isotonic_rises():
     assert (np.diff(p) >= 0).all() and ((trees.margin(x) > 0) == y).mean() > 0.9
 
 
+def test_views_exchange_labels():
+    """Both views give labels of both classes in the first round, and the text model is another one for it."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.8).astype(float)
+    x = y[:, None] * 1.5 + rng.normal(size=(3000, 4))
+    m = y[:, None] * 0.5 + rng.normal(size=(3000, 3))
+    model = cotraining.cotrain(x[:200], m[:200], y[:200], x[200:], m[200:])
+    assert len(model.given) == cotraining.ROUNDS and all(model.given[0][view, label] > 0 for view in ("text", "meta") for label in (0, 1))
+    assert not np.array_equal(model.first[0].model.margin(x), model.text.model.margin(x))
+    alone = cotraining.cotrain(x[:200], m[:200], y[:200], x[:0], m[:0])
+    right = [((c.scores(x[200:], m[200:])[2] >= 0.5) == y[200:]).mean() for c in (model, alone)]
+    assert alone.given == [] and right[0] >= right[1] - 0.01 and right[0] > 0.85
+
+
+def test_repeated_rows_of_an_id_are_one_training_row(spark, odd_rows, labels):
+    df = spark.createDataFrame([*odd_rows[:60], *[odd_rows[1]] * 500], "doc_id long, text string, lang string, source string, n_chars long")
+    plain = spark.createDataFrame(odd_rows[:60], df.schema)
+    for op in (cotraining, toxicity):
+        a, b = ({r["doc_id"]: r["score"] for r in op.classify(d, labels).collect()} for d in (df, plain))
+        assert a == pytest.approx(b)
+    a, b = ({r["doc_id"]: r for r in language.identify(d).collect()} for d in (df, plain))
+    assert all(a[i]["lang_pred"] == b[i]["lang_pred"] and a[i]["score"] == pytest.approx(b[i]["score"], abs=1e-4) for i in b)
+
+
 # 6
 
 
@@ -320,3 +367,11 @@ def test_winnowing_keeps_each_windows_least():
         x = rng.integers(0, 9, n).astype(np.uint64)
         kept = set(decontaminate.winnow(x, 9).tolist())
         assert kept and all(any(x[j] == x[i : i + 9].min() and j in kept for j in range(i, i + 9)) for i in range(n - 8))
+
+
+def test_score_does_not_depend_on_the_split(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    got = [{r["doc_id"]: (r["score"], r["bits_per_byte"], r["base_score"]) for r in mixing.evaluate(d).collect()} for d in (docs.coalesce(1), docs.repartition(3), docs.repartition(8))]
+    for other in got[1:]:
+        assert set(other) == set(got[0]) and all(other[i] == pytest.approx(got[0][i], rel=1e-6) for i in other)
+    assert all(0 < b < 20 for _, b, _ in got[0].values())

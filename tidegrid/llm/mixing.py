@@ -10,7 +10,8 @@ A bit's probability depends on a window only: its byte and the bytes before it t
 are counted over all training documents and dealt by their last three context bytes, so that all counts of the contexts of
 three bytes or more are in one task; windows of the shorter contexts, at most 2^24, go to all tasks. Weights and refinement
 are learned online over all training windows, against counts less those of the windows' own one of `FOLDS` shares of the corpus
-(or else the long contexts would always be right), and averaged over tasks; then each distinct window's cost is worked out
+(or else the long contexts would always be right), in an order that only the windows decide, and averaged over tasks. Shares are
+of documents and tasks of windows, both by hash, so a score does not depend on how the documents are split or ordered. Then each distinct window's cost is worked out
 once. Costs of the windows most often used (at most `HEAD_WINDOWS`) go to all tasks; others are joined by the window.
 
 The word model beside it gives base_score. Counts of the words most often used (at most `HEAD`) go to all tasks; others
@@ -27,7 +28,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +40,9 @@ ORDERS = (1, 2, 3, 4, 5)
 Find = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 BITS, HOLD, HEAD, HEAD_WINDOWS = 19, 10, 1 << 16, 1 << 21
 CHUNK, TAKEN, STEP, RATE, PRIOR = 1 << 20, 1 << 21, 4096, 0.05, 0.4
-LEAST_LEFT, MOST_LEFT, DEALT = 1 << 16, 16 << 20, 24
-#: Shares of the training documents, and the number that says held-out ones. A window's number has its share above its bytes.
-FOLDS, WINDOW_BITS = 16, 8 * (max(ORDERS) + 1)
+DEALT = 24
+#: Shares of the training documents, by a hash of the id, and the number that says held-out ones. A window's number has its share above its bytes.
+FOLDS, WINDOW_BITS = 4, 8 * (max(ORDERS) + 1)
 #: Orders whose counts go to all tasks.
 SHORT = 2
 GATES = 8 * (len(ORDERS) + 1)
@@ -88,6 +88,11 @@ class Distinct:
         self.size += len(k)
         self.total += len(key)
 
+    def compact(self) -> None:
+        key, n = self.take()
+        if len(key):
+            self.keys, self.times, self.size = [key], [n], len(key)
+
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -291,16 +296,16 @@ def costs(key: np.ndarray, mixer: Mixer, refined: np.ndarray, odds: np.ndarray,
     return out
 
 
-def gather(docs: DataFrame, leave: int) -> DataFrame:
+def gather(docs: DataFrame) -> DataFrame:
     """(kind, key, n), with a key in several rows: training documents' words (kind 0); windows (kind 1) and those of the short
-    orders (kind 2), with the document's share of the corpus above their bytes. docs: text, held_out.
+    orders (kind 2), with the document's share of the corpus above their bytes. docs: text, held_out, share.
 
-    A share is dealt out to so many bytes in a row.
+    A task holds `TAKEN` keys at most; they are put together, and given out if that leaves more than half of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, since, texts = TaskContext.get().partitionId() % FOLDS, 0, 0
-        found, taken, held_out = Distinct(), Distinct(), Distinct()
+        texts = 0
+        found, taken = Distinct(), [Distinct() for _ in range(FOLDS + 1)]
 
         def rows(some: Distinct, share: int) -> Iterator[pa.RecordBatch]:
             key, n = some.take()
@@ -308,33 +313,35 @@ def gather(docs: DataFrame, leave: int) -> DataFrame:
             yield _rows(2, low, np.bincount(at, n, len(low)), share)
             yield _rows(1, key, n, share)
 
+        def full(some: list[Distinct]) -> bool:
+            if sum(d.size for d in some) < TAKEN:
+                return False
+            for d in some:
+                d.compact()
+            return sum(d.size for d in some) >= TAKEN // 2
+
         for batch in batches:
-            is_held = batch.column(1)
-            for block in blocks(batch.column(0).filter(is_held), CHUNK):
-                held_out.add(windows(block)[0])
-                if held_out.size >= TAKEN:
-                    yield from rows(held_out, FOLDS)
-            text = batch.column(0).filter(pc.invert(is_held))
-            texts += len(text)
-            for block in blocks(text, min(CHUNK, leave)):
-                key = windows(block)[0]
-                taken.add(key)
-                since += len(key)
-                if since >= leave or taken.size >= TAKEN:
-                    yield from rows(taken, share)
-                if since >= leave:
-                    share, since = (share + 1) % FOLDS, 0
-                found.add(words(block, SPACED).hash)
-                if found.size >= TAKEN:
-                    value, n = found.take()
-                    yield _rows(0, signed(value), n)
-        yield from rows(held_out, FOLDS)
+            of = np.where(batch.column(1).to_numpy(zero_copy_only=False), FOLDS, batch.column(2).to_numpy())
+            for share in range(FOLDS + 1):
+                text = batch.column(0).filter(pa.array(of == share))
+                texts += len(text) if share < FOLDS else 0
+                for block in blocks(text, CHUNK):
+                    taken[share].add(windows(block)[0])
+                    if full(taken):
+                        for k, some in enumerate(taken):
+                            yield from rows(some, k)
+                    if share < FOLDS:
+                        found.add(words(block, SPACED).hash)
+                        if full([found]):
+                            value, n = found.take()
+                            yield _rows(0, signed(value), n)
+        for k, some in enumerate(taken):
+            yield from rows(some, k)
         if texts:
-            yield from rows(taken, share)
             value, n = found.take()
             yield _rows(0, np.append(signed(value), END_TOKEN), np.append(n, texts))
 
-    return arrow(docs.select("text", "held_out"), run, "kind int, key long, n long")
+    return arrow(docs.select("text", "held_out", "share"), run, "kind int, key long, n long")
 
 
 def _rows(kind: int, key: np.ndarray, n: np.ndarray, share: int = 0) -> pa.RecordBatch:
@@ -435,11 +442,12 @@ def score_texts(docs: DataFrame, costly: tuple[np.ndarray, np.ndarray], head: tu
 
         cost = Known(look)
         for batch in batches:
-            score, n_tokens, known, base, rare, times, others = [], [], [], [], [], [], []
+            score, n_bytes, n_tokens, known, base, rare, times, others = [], [], [], [], [], [], [], []
             for block in blocks(batch.column(1), CHUNK):
                 key, doc = windows(block)
                 each = cost(key)
                 other = np.isnan(each)
+                n_bytes.append(np.bincount(doc, minlength=block.n_docs))
                 score.append(np.bincount(doc, np.where(other, 0, each), block.n_docs))
                 others += np.split(key[other], np.searchsorted(doc[other], np.arange(1, block.n_docs)))[: block.n_docs]
                 w = words(block, SPACED)
@@ -458,11 +466,11 @@ def score_texts(docs: DataFrame, costly: tuple[np.ndarray, np.ndarray], head: tu
             offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32))
             flat = lambda x, t: pa.ListArray.from_arrays(offsets(x), pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)))
             cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-            columns = [pa.array(np.arange(number, number + m)), batch.column(0).cast(pa.int64()), cat(n_tokens, np.int64), cat(known, np.int64), cat(base, float), cat(score, float), flat(rare, np.int64), flat(times, np.int64), flat(others, np.int64)]
+            columns = [pa.array(np.arange(number, number + m)), batch.column(0).cast(pa.int64()), cat(n_tokens, np.int64), cat(known, np.int64), cat(base, float), cat(score, float), flat(rare, np.int64), flat(times, np.int64), flat(others, np.int64), cat(n_bytes, np.int64)]
             number += m
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "n_tokens", "head_known", "head_score", "score", "rare", "times", "others"])
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "n_tokens", "head_known", "head_score", "score", "rare", "times", "others", "n_bytes"])
 
-    return arrow(docs.select("doc_id", "text"), run, "number long, doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<long>, others array<long>")
+    return arrow(docs.select("doc_id", "text"), run, "number long, doc_id long, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<long>, others array<long>, n_bytes long")
 
 
 def most_used(counts: DataFrame, most: int, value: str = "c") -> tuple[np.ndarray, np.ndarray]:
@@ -480,12 +488,13 @@ def most_used(counts: DataFrame, most: int, value: str = "c") -> tuple[np.ndarra
 
 
 def evaluate(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (its end byte counts) for every document."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), HOLD) == 0, F.lit(False))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).head()["n"]
-    gathered = scratch.save(gather(docs.select("text", held_out.alias("held_out")), int(np.clip(size / FOLDS, LEAST_LEFT, MOST_LEFT))))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    gathered = scratch.save(gather(docs.select("text", held_out.alias("held_out"), share.alias("share"))))
     short = Shares.of(gathered.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_batches())
     # with the corpus grow the parts, not the contexts in each
     dealt = gathered.where("kind = 1").select("key", "n").repartition(max(1, size >> DEALT), F.expr(f"(key >> 8) & {(1 << 24) - 1}"))
@@ -502,6 +511,7 @@ def evaluate(docs: DataFrame) -> DataFrame:
     rest = each.join(counts, "key", "left").groupBy("number").agg(F.sum(value).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known"))
     more = scored.select("number", F.explode("others").alias("key")).join(priced.select("key", "cost"), "key").groupBy("number").agg(F.sum("cost").alias("more"))
     out = scored.drop("rare", "times", "others").join(rest, "number", "left").join(more, "number", "left")
+    total_score = F.col("score") + F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id",
         held_out.alias("held_out"),
@@ -509,5 +519,6 @@ def evaluate(docs: DataFrame) -> DataFrame:
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
         (F.col("head_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        total_score.alias("score"),
+        (-total_score / (F.lit(np.log10(2)) * F.col("n_bytes"))).alias("bits_per_byte"),
     )
