@@ -62,10 +62,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **options: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         return out

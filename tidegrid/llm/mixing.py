@@ -9,9 +9,8 @@ quantised log odds, and averaged with what it says. The text's score is the sum
 A bit's probability depends on a window only: its byte and the bytes before it that the longest context has. Distinct windows
 are counted over all training documents and dealt by their last three context bytes, so that all counts of the contexts of
 three bytes or more are in one task; windows of the shorter contexts, at most 2^24, go to all tasks. Weights and refinement
-are learned online over all training windows, against counts less those of the windows' own one of `FOLDS` shares of the corpus
-(or else the long contexts would always be right), in an order that only the windows decide, and averaged over tasks. Shares are
-of documents and tasks of windows, both by hash, so a score does not depend on how the documents are split or ordered. Then each distinct window's cost is worked out
+are learned online over the windows of one training document in `LEARN`, against the counts of all others (or else the long
+contexts would always be right), in an order that only the windows decide, and averaged over tasks. Shares are of documents and tasks of windows, both by hash, so a score does not depend on how the documents are split or ordered. Then each distinct window's cost is worked out
 once. Costs of the windows most often used (at most `HEAD_WINDOWS`) go to all tasks; others are joined by the window.
 
 The word model beside it gives base_score. Counts of the words most often used (at most `HEAD`) go to all tasks; others
@@ -41,8 +40,9 @@ Find = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 BITS, HOLD, HEAD, HEAD_WINDOWS = 19, 10, 1 << 16, 1 << 21
 CHUNK, TAKEN, STEP, RATE, PRIOR = 1 << 20, 1 << 21, 4096, 0.05, 0.4
 DEALT = 24
-#: Shares of the training documents, by a hash of the id, and the number that says held-out ones. A window's number has its share above its bytes.
-FOLDS, WINDOW_BITS = 4, 8 * (max(ORDERS) + 1)
+#: Shares of the training documents: those that weights are learned from (one in `LEARN`, by a hash of the id), and the others;
+#: and the number that says held-out ones. A window's number has its share above its bytes.
+LEARN, FOLDS, WINDOW_BITS = 8, 2, 8 * (max(ORDERS) + 1)
 #: Orders whose counts go to all tasks.
 SHORT = 2
 GATES = 8 * (len(ORDERS) + 1)
@@ -377,7 +377,7 @@ class Shares:
 
 
 def learn_mixer(windows: DataFrame, short: Shares) -> Mixer:
-    """Each task learns over its windows, against the counts less those of the windows' own share; a gate's weights are averaged
+    """Each task learns over its windows of the first share, against the counts of the other; a gate's weights are averaged
     by the bytes seen with it, refinement sums are added. windows: key, n, dealt out by their last three context bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,11 +387,10 @@ def learn_mixer(windows: DataFrame, short: Shares) -> Mixer:
             return
         contexts = Contexts(short.keys(), mine.keys())
         table = contexts.counts(short.taken(), mine.taken())
-        for share in range(FOLDS):
-            key, times = mine.taken(share)
-            if len(key):
-                own = contexts.counts(short.taken(share), (key, times))
-                learn(mixer, square, key, times, *odds_and_seen(np.maximum(table - own, 0)), contexts.slots)
+        key, times = mine.taken(0)
+        if len(key):
+            own = contexts.counts(short.taken(0), (key, times))
+            learn(mixer, square, key, times, *odds_and_seen(np.maximum(table - own, 0)), contexts.slots)
         mass = np.repeat(mixer.mass + 1e-9, INPUTS)
         a = np.concatenate([mixer.weight.ravel() * mass, mixer.ones.ravel()])
         b = np.concatenate([mass, mixer.total.ravel()])
@@ -493,8 +492,10 @@ def evaluate(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), HOLD) == 0, F.lit(False))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).head()["n"]
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
-    gathered = scratch.save(gather(docs.select("text", held_out.alias("held_out"), share.alias("share"))))
+    share = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(LEARN)) == 0, 0).otherwise(1)
+    # keys come sorted: written as differences
+    packed = {"compression": "zstd", "parquet.writer.version": "v2"}
+    gathered = scratch.save(gather(docs.select("text", held_out.alias("held_out"), share.alias("share"))), **packed)
     short = Shares.of(gathered.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_batches())
     # with the corpus grow the parts, not the contexts in each
     dealt = gathered.where("kind = 1").select("key", "n").repartition(max(1, size >> DEALT), F.expr(f"(key >> 8) & {(1 << 24) - 1}"))
