@@ -130,25 +130,26 @@ def wanted_ids(ids: DataFrame, bits: int = 22) -> np.ndarray:
     return bitmap(arrow(ids, run, "bit long"), F.col("bit"), bits)
 
 
-def whole_sets(sigs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """sig and shingles of the nodes that sigs names."""
-    ids = scratch.save(nodes.join(sigs, "sig", "left_semi").select("sig", "id"))
-    found = sets_of(docs, wanted_ids(ids.select("id")), size).join(ids.select("sig"), "sig", "left_semi")
-    sets = scratch.save(found.dropDuplicates(["sig"]))
-    scratch.drop(ids)
-    return sets
+def whole_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """sig and shingles of the nodes (sig, id), a row each."""
+    found = sets_of(docs, wanted_ids(ids.select("id")), size)
+    return found.join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, checked on whole sets; with inter (size of the intersection)."""
-    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    sets = whole_sets(ends, nodes, docs, scratch, size)
+    """The pairs (a, b) of nodes that link, checked on whole sets; with inter (size of the intersection).
+
+    Both sides read one exchange of the sets by sig, so they are shuffled once, and once more with a pair.
+    """
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+    ids = scratch.save(nodes.join(ends, "sig", "left_semi").select("sig", "id"))
+    sets = whole_sets(ids, docs, size)
     side = lambda k: sets.select(F.col("sig").alias(k), F.col("shingles").alias(f"set_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("set_a", "set_b"))
     found = both.select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b")).alias("both"))
     out = scratch.save(found.where(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter"))).select("a", "b", "inter"))
-    scratch.drop(sets)
+    scratch.drop(ids)
     return out
 
 
@@ -405,9 +406,10 @@ class Join:
             more = self.final.withColumnRenamed("keeper", "component").join(self.nodes.select("sig", "copies"), "sig")
             groups = self.scratch.save(more.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component"))
             members = self.scratch.save(more.join(groups, "component").select("sig", "component", "copies"))
-            sets = whole_sets(members.select("sig"), self.nodes, self.docs, self.scratch, self.size)
+            ids = self.scratch.save(self.nodes.join(members, "sig", "left_semi").select("sig", "id"))
+            sets = self.scratch.save(whole_sets(ids, self.docs, self.size))
             counted = self.scratch.save(count_links(members.join(sets, "sig"), self.percent))
-            self.scratch.drop(groups, members, sets)
+            self.scratch.drop(groups, members, ids, sets)
             told = told.join(self.nodes.select("sig", "copies"), "sig").join(counted, "sig", "left")
             told = told.select("sig", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         filled = self.base.where("n > 0").join(told, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), *told.columns[1:])
