@@ -43,7 +43,7 @@ SIZE, PERCENT = 5, 80
 #: Bits that tell hot shingles, lists' chunk size, and sizes that the cost model tells apart.
 HOT_BITS, CHUNK, MOST_SIZE = 24, 64, 4096
 #: Pivots of a list in a round, and the share of a round's tries that must link for another round.
-PIVOTS, FAIR = 4, 0.05
+PIVOTS, FAIR = 2, 0.05
 #: Shingles in a block of sets whose links are counted by one product.
 BLOCK = 1 << 16
 NO_ID = -(1 << 63)
