@@ -237,10 +237,10 @@ for _fn, _sql in _DUCK.items():
     query(f"SELECT o_orderpriority, {'round(' + _sql + ', 2)' if 'count' not in _fn else _sql} AS value FROM orders GROUP BY 1", f"agg_{_fn}")(_grouped(_fn))
 
 
-@query("SELECT n_regionkey, round(var_samp(n_nationkey), 6) AS value FROM nation GROUP BY 1")
+@query("SELECT l_returnflag, round(var_samp(l_quantity), 6) AS value FROM lineitem GROUP BY 1")
 def agg_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = {"groupBy": ["n_regionkey"], "aggregates": [{"column": "n_nationkey", "fn": "variance", "as": "value"}]}
-    return rounded(View(read(spark, sf_dir, "nation"), spec).groups().select("n_regionkey", "value"), 6)
+    spec = {"groupBy": ["l_returnflag"], "aggregates": [{"column": "l_quantity", "fn": "variance", "as": "value"}]}
+    return rounded(View(read(spark, sf_dir, "lineitem"), spec).groups().select("l_returnflag", "value"), 6)
 
 
 @query("SELECT l_returnflag, arg_min(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS first, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS last FROM lineitem GROUP BY 1")
@@ -295,12 +295,13 @@ def group_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT 0 AS level, n_regionkey, NULL AS n_nationkey, count(*) AS n FROM nation GROUP BY n_regionkey UNION ALL SELECT 1, n_regionkey, n_nationkey, NULL FROM nation WHERE n_regionkey = 2"
+    "SELECT 0 AS level, c_nationkey, NULL AS c_custkey, count(*) AS n FROM customer GROUP BY c_nationkey"
+    " UNION ALL SELECT 1, c_nationkey, c_custkey, NULL FROM customer WHERE c_nationkey = 2"
 )
 def group_tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "nation").withColumn("__seq", F.col("n_nationkey"))
-    tree = View(df, {"groupBy": ["n_regionkey"], "sort": [{"column": "n_name", "sort": "asc"}]}).tree([(2,)])
-    return tree.select(F.col("__level").cast("int").alias("level"), "n_regionkey", "n_nationkey", F.col("__count").alias("n"))
+    df = read(spark, sf_dir, "customer").withColumn("__seq", F.col("c_custkey"))
+    tree = View(df, {"groupBy": ["c_nationkey"], "sort": [{"column": "c_name", "sort": "asc"}]}).tree([(2,)])
+    return tree.select(F.col("__level").cast("int").alias("level"), "c_nationkey", "c_custkey", F.col("__count").alias("n"))
 
 
 @query(
@@ -546,12 +547,16 @@ def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.changed_since(first)[0].select(F.col("__key").alias("key"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count_if(event_type IN ('signup', 'purchase', 'error')) AS BIGINT) AS known FROM events")
+@query(
+    "SELECT CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'aside' END AS op,"
+    " count(*) AS rows FROM events GROUP BY 1"
+)
 def operation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operation tokens mapped; rows of unknown ones set aside."""
     df = read(spark, sf_dir, "events")
     good, aside = as_messages(df, ["user_id"], F.col("event_id"), "event_type", {"signup": "insert", "purchase": "update", "error": "delete"})
-    return good.agg(F.count(F.lit(1)).alias("known")).crossJoin(aside.agg(F.count(F.lit(1)).alias("aside"))).select((F.col("known") + F.col("aside")).alias("rows"), "known")
+    ops = good.select(F.col("__op").alias("op")).unionByName(aside.select(F.lit("aside").alias("op")))
+    return ops.groupBy("op").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("SELECT user_id, count_if(event_type = 'error') > 0 AND arg_max(event_type, event_id) = 'error' AS deleted FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
@@ -624,27 +629,36 @@ def unknown_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.unknown_paths(read(spark, sf_dir, "events"), "props", [])
 
 
-@query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS col, unnest(['integer', 'string', 'integer']) AS type")
+@query(
+    "SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS col,"
+    " unnest(['integer', 'datetime', 'integer', 'string', 'float', 'string']) AS type"
+)
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c, d.type) for c, d in infer.infer(read(spark, sf_dir, "nation")).items()], "col string, type string")
+    return spark.createDataFrame([(c, d.type) for c, d in infer.infer(read(spark, sf_dir, "events")).items()], "col string, type string")
 
 
-@query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS leaf, (SELECT count(*) FROM nation) AS seen, true AS enough")
+_LEAVES = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS leaf, count({c}) AS seen, count({c}) >= 20 AS enough FROM events" for c in _LEAVES))
 def sampling_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.progress(read(spark, sf_dir, "nation"), 20)
+    return infer.progress(read(spark, sf_dir, "events").select(*_LEAVES), 20)
 
 
 # sinks
 
 
-@query("SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+@query(
+    """SELECT event_id || ',' || event_type || ',' || CASE WHEN regexp_matches(props, '[",\\r\\n]')
+    THEN '"' || replace(props, '"', '""') || '"' ELSE coalesce(props, '') END AS line FROM events"""
+)
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return View(read(spark, sf_dir, "nation"), {}).as_csv(["n_nationkey", "n_name", "n_regionkey"])
+    return View(read(spark, sf_dir, "events"), {}).as_csv(["event_id", "event_type", "props"])
 
 
-@query("SELECT r_regionkey || chr(9) || r_name AS line FROM region")
+@query("SELECT c_custkey || chr(9) || c_name || chr(9) || c_mktsegment AS line FROM customer")
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return View(read(spark, sf_dir, "region"), {}).as_tsv(["r_regionkey", "r_name"])
+    return View(read(spark, sf_dir, "customer"), {}).as_tsv(["c_custkey", "c_name", "c_mktsegment"])
 
 
 def _key_column() -> Column:
