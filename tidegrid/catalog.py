@@ -559,9 +559,12 @@ def operation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("SELECT user_id, count_if(event_type = 'error') > 0 AND arg_max(event_type, event_id) = 'error' AS deleted FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
+@query(
+    "SELECT user_id, coalesce(arg_max(event_type, event_id) FILTER (WHERE event_type IN ('error', 'signup')) = 'error', false) AS deleted FROM events GROUP BY 1"
+)
 def soft_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = merge.soft_delete(feed(spark, sf_dir).where("__op <> 'update'"), "deleted")
+    """Deletes raise a flag and inserts lower it; updates between or after them leave it as it is."""
+    messages = merge.soft_delete(feed(spark, sf_dir), "deleted")
     merged = merge.fold_messages(messages, ["event_type", "value", "deleted"])
     return merged.select(F.col("__key").cast("long").alias("user_id"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
