@@ -118,3 +118,25 @@ def test_hash_of_words_and_bounds():
     apart = sum(int(x ^ y & (1 << 64) - 1).bit_count() if x ^ y >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(ngram_join.sketch(a), ngram_join.sketch(b)))
     assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
     assert ngram_join.boundary({5: 10, 50: 10, 500: 10}, 2.0) > 5 and ngram_join.boundary({}, 2.0) == 2
+
+
+def test_a_pair_is_made_at_its_first_key(spark, monkeypatch):
+    """Copies of one text edited so much that few link share most of their prefixes: pairs are made about once, not at every key."""
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randrange(4, 12)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    made = []
+
+    def meeting(*args, before=ngram_join.meeting):
+        out = before(*args)
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "meeting", meeting)
+    monkeypatch.setattr(ngram_join, "FAIR", 2)
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    assert made[0][1] >= 50 and made[0][0] <= 1.5 * made[0][1]

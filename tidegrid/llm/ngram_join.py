@@ -8,13 +8,14 @@ boundary) enumerate the 2-subsets of their prefix (k = 2), so that a shared key
 and the small ones that can link to them, stand in inverted lists of single shingles (k = 1). The boundary is where the
 expected cost of enumerating passes that of scanning the lists, from the histogram of set sizes and the mean list length.
 
-Groups of near copies are contracted before pairs are made from the lists: in each round every list names a few pivots at
-random, each node tries those that look nearest to it, and what the exact check confirms becomes one label. Rounds go on
-while a fair share of the tries links; then all pairs across labels are made: the rows of a list that are not of its
-commonest label meet the whole list, chunk by chunk, in tasks of their own. No partner is left out. Sizes, the places of the
-shared key in both prefixes, and sketches (parities, whose difference bounds that of the sets) rule out pairs that cannot
-link; all others are checked on whole sets. Inside a component links are counted by products of incidence matrices, block
-by block: no row stands for a pair there.
+Groups of near copies are contracted before pairs are made from the lists: in each round every long list names a few pivots
+at random, each node tries those that look nearest to it, and what the exact check confirms becomes one label. Rounds go on
+while a fair share of the tries links, and adds to the links found; then all pairs across labels are made, from the short lists too: the rows of a list
+that are not of its commonest label meet the whole list, chunk by chunk, in tasks of their own. No partner is left out. A
+pair that shares many keys is made at the first of them: each row holds the few keys that its set has before, and one that
+both rows hold has made the pair already. Sizes, the places of the shared key in both prefixes, and sketches (parities, whose
+difference bounds that of the sets) rule out pairs that cannot link; all others are checked on whole sets. Inside a component
+links are counted by products of incidence matrices, block by block: no row stands for a pair there.
 
 Shingles and sets are known by 64-bit hashes. Defined cases: null or empty texts have no shingle, and link with nothing;
 texts of fewer words than a shingle are one shingle of their own; a text of any length is one set; repeated rows each get
@@ -31,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -41,8 +42,10 @@ from tidegrid.llm.components import components
 
 SIZE, PERCENT = 5, 80
 #: Bits that tell hot shingles, lists' chunk size, and sizes that the cost model tells apart.
-HOT_BITS, CHUNK, MOST_SIZE = 24, 64, 4096
-#: Pivots of a list in a round, and the share of a round's tries that must link for another round.
+HOT_BITS, CHUNK, MOST_SIZE = 24, 512, 4096
+#: Longs in a sketch, keys that a row holds of those before its own, rows that make a list long, bits that tell ids.
+SKETCH, BEFORE, LONG, ID_BITS = 8, 4, 8, 22
+#: Pivots of a list in a round, and the share of a round's tries, and of the links of all rounds, that must link for another.
 PIVOTS, FAIR = 2, 0.05
 #: Shingles in a block of sets whose links are counted by one product.
 BLOCK = 1 << 16
@@ -59,8 +62,8 @@ def _signature(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> list[int]:
-    """256 bits, each the parity of how many shingles fall to it: bits that differ are at most as many as shingles that do."""
-    parity = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """Bits, each the parity of how many shingles fall to it: bits that differ are at most as many as shingles that do."""
+    parity = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -97,42 +100,31 @@ def bitmap(df: DataFrame, bit: Column, bits: int) -> np.ndarray:
     return np.unpackbits(out.ravel(), bitorder="little")[: 1 << bits].astype(bool)
 
 
-def _id_bit(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _id_bit(doc_id: str, bits: int = ID_BITS) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(NO_ID))), 64 - bits)
 
 
 def sets_of(docs: DataFrame, wanted: np.ndarray, size: int = SIZE) -> DataFrame:
     """sig and whole set of the documents whose id's flag is up; some others may be among them."""
-    bits = int(len(wanted)).bit_length() - 1
-    packed = np.packbits(wanted)
+    flags = np.packbits(wanted, bitorder="little").view(np.int64).tolist()
+    flags = F.broadcast(docs.sparkSession.createDataFrame([(flags,)], "flags array<long>"))
+    flag = F.expr("shiftrightunsigned(get(flags, cast(bit >> 6 as int)), cast(bit & 63 as int)) & 1")
+    kept = docs.select("text", _id_bit("doc_id").alias("bit")).join(flags, flag == 1).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            kept = batch.column(1).filter(pa.array(flags[_id_bit(np.ascontiguousarray(ids), bits)]))
-            for block in blocks(kept):
+            for block in blocks(batch.column(0)):
                 sets = shingle_sets(block, size)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets))))
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), flat], names=["sig", "shingles"])
 
-    return arrow(docs.select("doc_id", "text"), run, "sig long, shingles array<long>")
-
-
-def wanted_ids(ids: DataFrame, bits: int = 22) -> np.ndarray:
-    """Flags of the ids' hashes; made by the executors, page by page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_id_bit(np.ascontiguousarray(batch.column(0).fill_null(NO_ID).to_numpy()), bits))], names=["bit"])
-
-    return bitmap(arrow(ids, run, "bit long"), F.col("bit"), bits)
+    return arrow(kept, run, "sig long, shingles array<long>")
 
 
 def whole_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """sig and shingles of the nodes (sig, id), a row each."""
-    found = sets_of(docs, wanted_ids(ids.select("id")), size)
+    found = sets_of(docs, bitmap(ids, _id_bit("id"), ID_BITS), size)
     return found.join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
@@ -252,7 +244,7 @@ def overlap(a: str, b: str, percent: int) -> Column:
 
 def alike(sketch_a: Column, sketch_b: Column, n_a: Column, n_b: Column, needs: Column, percent: int) -> tuple[Column, Column]:
     """Whether sizes and sketches let sets link, and how many bits of the sketches differ."""
-    apart = sum((F.bit_count(sketch_a[i].bitwiseXOR(sketch_b[i])) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(sketch_a[i].bitwiseXOR(sketch_b[i])) for i in range(SKETCH)), F.lit(0))
     fits = percent * F.greatest(n_a, n_b) <= 100 * F.least(n_a, n_b)
     return fits & (apart <= n_a + n_b - 2 * needs), apart
 
@@ -279,38 +271,56 @@ def tries(lists: DataFrame, scratch: Scratch, turn: int, percent: int) -> DataFr
 
 
 def contracted(lists: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The lists (key, single, sig, n, pos, sketch) with a label a node, and the links that the labels come from."""
-    lists, links, turn = lists.withColumn("label", F.col("sig")), [], 0
+    """The lists with a label a node, and the links that the labels come from: rounds over the long lists, others make few pairs."""
+    many = lists.groupBy("key", "single").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LONG).select("key", "single")
+    long = scratch.save(lists.drop("before").join(many, ["key", "single"], "left_semi").withColumn("label", F.col("sig")))
+    links: list[DataFrame] = []
+    every = 0
     while True:
-        tried = tries(lists, scratch, turn, percent)
+        tried = tries(long, scratch, len(links), percent)
         n = tried.count()
         if not n:
             scratch.drop(tried)
-            return lists, links
+            break
         found = linked(tried, nodes, docs, scratch, size, percent)
         links.append(found)
+        new = found.count()
+        every += new
+        if new < FAIR * max(n, every):
+            scratch.drop(tried)
+            break
         edges = tried.join(found.select("a", "b"), ["a", "b"], "left_semi").select(F.col("from").alias("a"), F.col("to").alias("b"))
         labels = components(edges, scratch)
-        scratch.drop(tried)
-        newer = lists.withColumnRenamed("label", "node").join(labels, "node", "left")
+        newer = long.withColumnRenamed("label", "node").join(labels, "node", "left")
         newer = scratch.save(newer.withColumn("label", F.coalesce("label", "node")).drop("node"))
-        if turn:
-            scratch.drop(lists)
-        lists, turn = newer, turn + 1
-        if found.count() < FAIR * n:
-            return lists, links
+        scratch.drop(tried, long)
+        long = newer
+    scratch.drop(long)
+    if not links:
+        return lists.withColumn("label", F.col("sig")), links
+    labels = components(reduce(DataFrame.unionByName, links), scratch).withColumnRenamed("node", "sig")
+    return scratch.save(lists.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))), links
 
 
 def across(lists: DataFrame, scratch: Scratch, border: int, percent: int) -> DataFrame:
     """Pairs of nodes (a < b) that share a key but no label, and that sizes, places and sketches let link.
 
-    lists: key, single, sig, n, pos, label, sketch. The rows of a list that are not of its commonest label meet its chunks.
+    lists: key, single, sig, n, pos, label, sketch, before. The rows of a list that are not of its commonest label meet its
+    chunks. Where both rows hold the same key before this one, that key makes the pair: its places are earlier in both.
     """
     by_label = lists.groupBy("key", "single", "label").agg(F.count(F.lit(1)).alias("c"))
     by_key = by_label.groupBy("key", "single").agg(F.max_by("label", "c").alias("common"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels"))
     by_key = scratch.save(by_key.where("labels > 1").select("key", "single", "common", F.ceil(F.col("c") / CHUNK).cast("int").alias("m")))
     rows = scratch.save(lists.join(by_key, ["key", "single"]).withColumn("x", F.pmod(F.xxhash64("sig"), F.col("m")).cast("int")))
-    named = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "pos", "label", "sketch")]
+    met = meeting(rows, border, percent)
+    pairs = scratch.save(met.distinct())
+    scratch.drop(by_key, rows)
+    return pairs
+
+
+def meeting(rows: DataFrame, border: int, percent: int) -> DataFrame:
+    """The pairs (a < b) of the rows' lists, nearly each once. rows: as in `across`, with common, m (chunks of the list) and x."""
+    named = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "pos", "label", "sketch", "before")]
     left = rows.where("label <> common").select("key", "single", *named("a"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     right = rows.select("key", "single", *named("b"), "common", "x")
     needs = overlap("n_a", "n_b", percent)
@@ -320,10 +330,8 @@ def across(lists: DataFrame, scratch: Scratch, border: int, percent: int) -> Dat
     large = ~F.col("single") | (F.greatest("n_a", "n_b") >= border)
     other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("common")) | (F.col("sig_a") < F.col("sig_b")))
     near, _ = alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), needs, percent)
-    met = left.join(right, ["key", "single", "x"]).where(other & early & large & near)
-    pairs = scratch.save(met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct())
-    scratch.drop(by_key, rows)
-    return pairs
+    met = left.join(right, ["key", "single", "x"]).where(other & early & large & near & ~F.arrays_overlap("before_a", "before_b"))
+    return met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"))
 
 
 def count_links(members: DataFrame, percent: int) -> DataFrame:
@@ -437,7 +445,10 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Join:
     shared = scratch.save(every.groupBy("key", "single").agg(*ends).where("lo <> hi").select("key", "single"))
     several = scratch.save(every.join(shared, ["key", "single"]).distinct())
     scratch.drop(every, shared)
-    lists = scratch.save(several.join(nodes.select("sig", "sketch"), "sig"))
+    # keys of 2-subsets have no order of their own
+    earlier = Window.partitionBy("sig", "single").orderBy("pos").rowsBetween(-BEFORE, -1)
+    before = F.when(F.col("single"), F.collect_list("key").over(earlier)).otherwise(F.array().cast("array<long>"))
+    lists = scratch.save(several.withColumn("before", before).join(nodes.select("sig", "sketch"), "sig"))
     scratch.drop(several)
     labelled, links = contracted(lists, nodes, docs, scratch, size, percent)
     pairs = across(labelled, scratch, border, percent)
