@@ -247,6 +247,26 @@ def test_column_generation_betters_what_filling_finds():
     assert plan.sequences <= sum(n for n, _, _ in first) and plan.by_program >= 0.95 * sum(demand.values())
 
 
+def test_patterns_are_priced_where_filling_is_as_good_as_the_bound(monkeypatch):
+    """The plan is the program's also where filling alone would do: only the last few sequences are filled."""
+    rng = np.random.default_rng(2)
+    demand = dict(Counter(rng.integers(1, 200, 4000).tolist()))
+    filled, fill_all = [], packing.fill_all
+    first = fill_all(demand, 512)
+    filling = sum(n for n, _, _ in first)
+    assert filling <= packing.least_size(demand, 512) + 1
+    assert packing.column_generation(demand, 512, first).priced > 0
+    monkeypatch.setattr(packing, "fill_all", lambda left, capacity: filled.append(sum(u * n for u, n in left.items())) or fill_all(left, capacity))
+    plan = packing.make_plan(demand, 512)
+    assert max(filled) <= packing.FEW * 512 and plan.priced > len(demand) and plan.sequences <= filling + 1
+    assert plan.bound <= plan.value <= (1 + packing.GAP) * plan.bound
+    # the bound is the prices' own: no pattern is worth more than one sequence
+    program = packing.column_generation(demand, 512, [])
+    classes = sorted(demand)
+    assert packing.knapsack(np.array([program.prices[u] for u in classes]), classes, 512)[0] <= 1 + 1e-9
+    assert sum(program.prices[u] * n for u, n in demand.items()) == pytest.approx(program.bound, rel=packing.GAP)
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(6)
     for _ in range(20):

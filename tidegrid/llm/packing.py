@@ -3,12 +3,12 @@
 A document's ids are cut into pieces of the sequence's length and a rest. Pieces fall into classes of lengths (in units of
 `unit` ids, rounded up; 1, so that no room is lost to rounding). The number of pieces in each class is all that the driver
 gets: a table of at most capacity / unit rows. A linear program over patterns (how many pieces of each class a sequence
-takes) is solved by column generation: its first columns come from filling sequences one after another (the largest piece
-left, and what fills the rest best); its duals price new patterns by a knapsack dynamic program, until the value is within
-`GAP` of a bound that the same prices give. Pattern counts are rounded down, the program is solved anew for what is left
-over, and so on; only the last few sequences are filled without it. Then the pieces of each class
-are ranked (by a salt of the document, then the document), and a rank tells the sequence and the place in it, so pieces are
-assigned where they are, in parallel. Ids never move: a piece is known by its document, start and length.
+takes) is solved by column generation: its first columns are the patterns of one class each; the program over the columns
+known is solved by first-order steps, and its duals price new patterns by knapsack programs, until the value is within `GAP`
+of a bound that prices give. Pattern counts are rounded down, the program is solved anew for what is left
+over, and so on; only the last `FEW` sequences are filled without it. Then the pieces of each class are ranked (by a salt of
+the document, then the document), and a rank tells the sequence and the place in it, so pieces are assigned where they are, in
+parallel. Ids never move: a piece is known by its document, start and length.
 
 Defined cases: a null or empty text has one piece of the end token; repeated documents are packed each; a null doc_id
 takes part like any other; a text of any length is cut, never dropped; ties in rank between repeated documents are equal
@@ -32,9 +32,12 @@ from tidegrid.llm.tokens import word_ids
 
 LENGTH, END, UNIT = 4096, 2, 1
 #: How close to its optimum the linear program is solved, and how many sequences at the end are filled without it.
-GAP, FEW = 1e-3, 8
-#: The program is no longer bettered if so many patterns together gain less than a twentieth of the gap.
-WINDOW = 100
+GAP, FEW = 3e-4, 8
+#: Patterns worth less than one by no more than this are fixed first.
+FULL = 1e-4
+#: Pricing: knapsack programs a round, how far apart their duals are, and about how many classes each takes besides its own; the
+#: program is no longer bettered if so many rounds together gain less than a quarter of the gap.
+PASSES, FEWEST, APART, AMONG, ROUNDS = 30, 6, 0.2, 64, 6
 SALT_ROWS, MOST_SALTS = 256, 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -62,133 +65,197 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
 @dataclass
 class Plan:
     """Patterns as (number of sequences, {class: pieces of it in each}); how many pieces have theirs from the linear program; the
-    program's value, and a number of sequences that no plan is below."""
+    program's value, and a number of sequences that no plan is below; how many patterns all programs priced."""
 
     patterns: list[tuple[int, dict[int, int]]]
     by_program: int = 0
     value: float = 0.0
     bound: float = 0.0
+    priced: int = 0
 
     @property
     def sequences(self) -> int:
         return sum(n for n, _ in self.patterns)
 
 
+def bounded(price: np.ndarray, size: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """A knapsack program over lots of each class (1, 2, 4, ... pieces, `most` together): the most that a capacity is worth,
+    the lots as (class, pieces), and at which capacities each was taken."""
+    lots = []
+    for i in np.flatnonzero(price > 1e-12).tolist():
+        n, k = int(most[i]), 1
+        while n > 0:
+            lots.append((i, min(k, n)))
+            n, k = n - k, 2 * k
+    best, taken, more = np.zeros(capacity + 1), np.zeros((len(lots), capacity + 1), dtype=bool), np.empty(capacity + 1)
+    for at, (i, n) in enumerate(lots):
+        w = int(size[i]) * n
+        with_it, without = more[: capacity + 1 - w], best[w:]
+        np.add(best[: capacity + 1 - w], price[i] * n, out=with_it)
+        np.greater(with_it, without + 1e-12, out=taken[at, w:])
+        np.maximum(without, with_it, out=without)
+    return best, lots, taken
+
+
+def chosen(room: np.ndarray, size: np.ndarray, lots: list[tuple[int, int]], taken: np.ndarray) -> list[Counter]:
+    """The pieces, by class, of the best patterns for each of some capacities."""
+    room, out = room.copy(), [Counter() for _ in room]
+    for at in range(len(lots) - 1, -1, -1):
+        hit = np.flatnonzero(taken[at][room])
+        if len(hit):
+            i, n = lots[at]
+            for j in hit.tolist():
+                out[j][i] += n
+            room[hit] -= size[i] * n
+    return out
+
+
 def knapsack(price: np.ndarray, classes: list[int], capacity: int) -> tuple[float, dict[int, int]]:
     """The most valuable multiset of classes within the capacity."""
     size = np.array(classes)
-    dear = price > 1e-12
-    size, value = size[dear], price[dear]
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    until = np.searchsorted(size, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := until[c]:
-            v = best[c - size[:k]] + value[:k]
-            u = int(v.argmax())
-            if v[u] > best[c] + 1e-12:
-                best[c], took[c] = v[u], size[u]
-    c, pattern = capacity, Counter()
-    while c > 0:
-        if took[c]:
-            pattern[int(took[c])] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return float(best[capacity]), dict(pattern)
+    best, lots, taken = bounded(price, size, capacity // size, capacity)
+    (pattern,) = chosen(np.array([capacity]), size, lots, taken)
+    return float(best[capacity]), {classes[i]: n for i, n in pattern.items()}
 
 
 @dataclass
 class Program:
-    """The linear program's patterns with how often each is used, its value, and a value that no plan is below."""
+    """The linear program's patterns with how often each is used, its value, and a value that no plan is below; the prices of
+    the pieces that say so (no pattern is worth more than 1), and how many patterns were priced."""
 
     patterns: list[tuple[float, dict[int, int]]]
     value: float
     bound: float
+    prices: dict[int, float]
+    priced: int
 
 
-def column_generation(demand: dict[int, int], capacity: int, first: list[tuple[float, dict[int, int], int]], gap: float = GAP) -> Program:
-    """Solve the program: the fewest patterns that cover the demand, within `gap` of its optimum (or one sequence), or until it is
-    no longer bettered.
+class Master:
+    """The program over the patterns known so far, solved by primal and dual steps (PDHG with restarts).
 
-    A filling (`first`) that is that good is the solution. Else the first basis are the patterns of a filling in parts of a
-    sequence, each of which uses up a class that later ones don't have, and surplus columns for the other classes. Duals are smoothed towards the best ones so far, at first each class's share of the
-    capacity: else the first patterns would be far from any that are used in the end. Every priced pattern enters.
+    A piece may always be had from a pattern of its class alone, so its price is at most its share of that (`dear`), and any
+    use of patterns is made whole by those. No matrix is inverted, so nothing is lost where bases are ill-conditioned.
+    """
+
+    def __init__(self, d: np.ndarray, dear: np.ndarray, y: np.ndarray):
+        self.d, self.dear, self.y, self.m = d, dear, y, len(d)
+        self.col, self.row, self.n, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        self.x = self.best = np.zeros(0)
+        self.value = float(dear @ d)
+
+    def add(self, patterns: list[dict[int, int]], x: list[float]) -> None:
+        entries = [(self.count + j, i, n) for j, p in enumerate(patterns) for i, n in p.items()]
+        col, row, n = (np.array(c) for c in zip(*entries, strict=True)) if entries else (self.col[:0], self.row[:0], self.n[:0])
+        self.col, self.row, self.n = np.concatenate([self.col, col]), np.concatenate([self.row, row]), np.concatenate([self.n, n.astype(float)])
+        self.x, self.best = np.concatenate([self.x, x]), np.concatenate([self.best, x])
+        self.count += len(patterns)
+
+    def worth(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.n * y[self.row], self.count)
+
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.n * x[self.col], self.m)
+
+    def whole(self, x: np.ndarray) -> float:
+        return float(x.sum() + self.dear @ np.maximum(self.d - self.packed(x), 0))
+
+    def forget(self, most: int) -> None:
+        """Of the patterns that are not used keep those of the most worth."""
+        if self.count > 2 * most:
+            worth = self.worth(self.y)
+            keep = (self.x > 1e-7) | (self.best > 1e-7) | (worth >= np.partition(worth, -most)[-most])
+            at, stay = np.cumsum(keep) - 1, keep[self.col]
+            self.col, self.row, self.n = at[self.col[stay]], self.row[stay], self.n[stay]
+            self.x, self.best, self.count = self.x[keep], self.best[keep], int(keep.sum())
+
+    def solve(self, steps: int = 200) -> None:
+        """So many steps from where it stands; averages are gone on from where they are closer."""
+        if not self.count:
+            self.y = self.dear
+            return
+        scale = 2 * max(float(np.linalg.norm(self.best)), 1.0) / max(float(np.linalg.norm(self.y)), 1e-9)
+        tau = scale / np.bincount(self.col, self.n, self.count)
+        sigma = 1 / (scale * np.maximum(np.bincount(self.row, self.n, self.m), 1e-9))
+        self.value = self.whole(self.best)
+        x, y, worth = self.x, self.y, self.worth(self.y)
+        sums, k = [np.zeros(self.count), np.zeros(self.m)], 0
+        for step in range(1, steps + 1):
+            after = np.maximum(x - tau * (1 - worth), 0)
+            y = np.clip(y + sigma * (self.d - self.packed(2 * after - x)), 0, self.dear)
+            x, worth = after, self.worth(y)
+            sums[0] += x
+            sums[1] += y
+            k += 1
+            if step % 50 == 0:
+                apart = []
+                for a, b in ((x, y), (sums[0] / k, sums[1] / k)):
+                    value = self.whole(a)
+                    apart.append(value - float(b @ self.d) / max(1.0, float(self.worth(b).max())))
+                    if value < self.value:
+                        self.value, self.best = value, a
+                if k >= 200 or apart[1] < apart[0] / 2:
+                    if apart[1] < apart[0]:
+                        x, y = sums[0] / k, sums[1] / k
+                        worth = self.worth(y)
+                    sums, k = [np.zeros(self.count), np.zeros(self.m)], 0
+        self.x, self.y = x, y
+
+
+def column_generation(demand: dict[int, int], capacity: int, first: list[tuple], gap: float = GAP) -> Program:
+    """Solve the program: the fewest patterns that cover the demand, within `gap` of its optimum, or until it is no longer bettered.
+
+    Its columns are `first` (as often as used, pattern, ...; may be empty), the patterns of one class each, and those that are
+    priced: a round takes the duals, as they are or smoothed towards those of the best bound (at first each class's share of
+    the capacity), and finds for every class a pattern that is worth much with it. Its knapsack programs, each for a part of
+    the classes, take besides them some at random and duals a little apart from the round's, since the best patterns of one
+    program share the same few classes; the bound is told by a program over all classes at the duals themselves.
     """
     classes = sorted(demand)
-    m, at = len(classes), {u: i for i, u in enumerate(sorted(demand))}
-    d = np.array([demand[u] for u in classes], dtype=float)
-    value, bound = float(sum(n for n, _, _ in first)), least_size(demand, capacity)
-    close = lambda bound: max(bound * (1 + gap), bound + 1)
-    if value <= close(bound):
-        return Program([(float(n), p) for n, p, _ in first], value, bound)
-    matrix, cost, basis = np.zeros((m, m)), np.ones(m), []
-    parts = fill_all(demand, capacity, whole=False)
-    for _, pattern, _ in parts:
-        for u, n in pattern.items():
-            matrix[at[u], len(basis)] = n
-        basis.append(pattern)
-    for u in set(classes) - {u for _, _, u in parts}:
-        matrix[at[u], len(basis)] = -1
-        cost[len(basis)] = 0
-        basis.append({u: -1})
-    # demands a little apart from each other, so that steps are seldom empty
-    apart = d * (1 + 1e-6 * np.random.Generator(np.random.PCG64(3)).random(m))
-    inverse = np.linalg.inv(matrix)
-    x = np.maximum(inverse @ apart, 0)
-    smooth, stable = 0.5, np.array(classes) / capacity
-    history, steps = [value], 0
+    m, at = len(classes), {u: i for i, u in enumerate(classes)}
+    size, d = np.array(classes), np.array([demand[u] for u in classes], dtype=float)
+    most = np.minimum(capacity // size, d).astype(np.int64)
+    limit, stable, bound, priced = most.tolist(), size / capacity, 0.0, 0
+    master = Master(d, 1 / most, np.minimum(stable, 1 / most))
+    master.add([{at[u]: n for u, n in f[1].items()} for f in first], [float(f[0]) for f in first])
+    rng, history, among, grown = np.random.Generator(np.random.PCG64(3)), [], AMONG, 0
     while True:
-        y = cost @ inverse
-        entering, price_of = None, 1.0
-        while True:
-            price = np.maximum(smooth * stable + (1 - smooth) * y, 0)
-            worth, pattern = knapsack(price, classes, capacity)
-            if worth > 0 and price @ d / worth > bound:
-                bound, stable = float(price @ d / worth), price
-            gain = sum(y[at[u]] * n for u, n in pattern.items()) - 1
-            if gain > 1e-7:
-                entering = pattern
-                break
-            if smooth == 0:
-                break
-            smooth = smooth / 2 if smooth > 0.1 else 0.0
-        value = float(cost @ (inverse @ d))
-        history.append(value)
-        if value <= close(bound) or len(history) > WINDOW and history[-WINDOW] - value < gap * value / 20:
+        master.solve()
+        y, dual = master.y, master.y.tolist()
+        price = (stable, y, 0.7 * y + 0.3 * stable)[1 + len(history) % 2 if history else 0]
+        exact = bounded(price, size, most, capacity)
+        worth = float(exact[0][capacity])
+        if price @ d / worth > bound:
+            bound, stable = float(price @ d / worth), price / worth
+        history.append(master.value)
+        if master.value <= bound * (1 + (gap if priced else 1e-9)):
             break
-        if entering is None:
-            if y.min() >= -1e-7:
+        if len(history) - grown > ROUNDS and history[-ROUNDS] - master.value < gap * master.value / 4:
+            if among >= m:
                 break
-            entering, price_of = {classes[int(y.argmin())]: -1}, 0.0
-        smooth = min(0.9, smooth + 0.1)
-        column = np.zeros(m)
-        for u, n in entering.items():
-            column[at[u]] = n
-        w = inverse @ column
-        ok = w > 1e-9
-        if not ok.any():
-            break
-        ratio = np.where(ok, x / np.where(ok, w, 1), np.inf)
-        r = int(np.argmin(ratio))
-        t = max(float(ratio[r]), 0.0)
-        x = np.maximum(x - t * w, 0)
-        x[r] = t
-        row = inverse[r] / w[r]
-        rows = np.flatnonzero(w)
-        inverse[rows] -= np.outer(w[rows], row)
-        inverse[r] = row
-        basis[r], cost[r] = entering, price_of
-        steps += 1
-        if steps % 500 == 0:  # against rounding errors
-            matrix = np.zeros((m, m))
-            for j, p in enumerate(basis):
-                for u, n in p.items():
-                    matrix[at[u], j] = n
-            inverse = np.linalg.inv(matrix)
-            x = np.maximum(inverse @ apart, 0)
-    x = inverse @ d
-    return Program([(float(v), p) for v, p, c in zip(x, basis, cost, strict=True) if v > 1e-6 and c], value, bound)
+            among, grown = 4 * among, len(history)
+        found: dict[tuple, dict[int, int]] = {}
+        parts = np.array_split(rng.permutation(m), min(m, max(FEWEST, PASSES * AMONG // among)))
+        for k, part in enumerate(parts):
+            if k:
+                apart = price * (1 + APART * rng.random(m))
+                apart[rng.random(m) * m > among] = 0
+            _, lots, taken = bounded(apart, size, most, capacity) if k else exact
+            for i, pattern in zip(part.tolist(), chosen(capacity - size[part], size, lots, taken), strict=True):
+                pattern[i] = min(pattern[i] + 1, limit[i])
+                if sum(dual[j] * n for j, n in pattern.items()) > 1 + 1e-6:
+                    found[tuple(sorted(pattern.items()))] = pattern
+        master.forget(2 * m)
+        master.add(list(found.values()), [0.0] * len(found))
+        priced += len(found)
+    if bound * (1 + 10 * gap) < master.value:
+        stable = master.y / max(1.0, float(master.worth(master.y).max(initial=0)))
+    x = np.where(master.best > 1e-6, master.best, 0)
+    patterns: list[dict[int, int]] = [{} for _ in range(master.count)]
+    for j, i, n in zip(master.col.tolist(), master.row.tolist(), master.n.tolist(), strict=True):
+        patterns[j][classes[i]] = int(n)
+    rest = np.maximum(d - master.packed(x), 0) / most
+    used = [(float(v), p) for v, p in zip(x, patterns, strict=True) if v] + [(float(v), {classes[i]: int(most[i])}) for i, v in enumerate(rest) if v > 1e-9]
+    return Program(used, float(sum(v for v, _ in used)), max(bound, least_size(demand, capacity)), dict(zip(classes, stable.tolist(), strict=True)), priced)
 
 
 def fill(left: dict[int, int], room: int) -> dict[int, int]:
@@ -253,29 +320,41 @@ def least_size(demand: dict[int, int], capacity: int) -> float:
 def make_plan(demand: dict[int, int], capacity: int) -> Plan:
     """Whole numbers of patterns that hold every piece: the program's, rounded down; then those of what is left over, and so on.
 
-    Where rounding down leaves all as it is, the patterns that are used most are rounded up, half of what is left at once.
+    Patterns worth the most at the program's prices go first, so that what its value is above the bound is left to the
+    programs that follow; of those worth the same the ones of few pieces, since small pieces fill what is left at the end. Where rounding down fixes less than half, patterns used in part are rounded up until half is fixed.
     The last few sequences' pieces are filled.
     """
     left, patterns, told = {u: n for u, n in demand.items() if n}, [], None
-    by_program = 0
+    by_program, priced, first = 0, 0, []
     while left:
-        first = fill_all(left, capacity)
-        if told and sum(n for n, _, _ in first) <= FEW:
-            patterns += [(n, p) for n, p, _ in first]
-            break
+        if told and sum(u * n for u, n in left.items()) <= FEW * capacity:
+            last = fill_all(left, capacity)
+            if sum(n for n, _, _ in last) <= FEW:
+                patterns += [(n, p) for n, p, _ in last]
+                break
         program = column_generation(left, capacity, first)
-        told = told or program
-        before = sum(left.values())
-        used = sorted(program.patterns, key=lambda p: -p[0])
-        for x, pattern in used:
-            times = min(int(x + 1e-6), *(left.get(u, 0) // n for u, n in pattern.items()))
-            take(left, patterns, pattern, times)
-        if sum(left.values()) == before:
-            for _, pattern in used[: max(1, len(used) // 2)]:
-                held = {u: min(n, left[u]) for u, n in pattern.items() if u in left}
-                take(left, patterns, held, min(1, len(held)))
+        told, priced = told or program, priced + program.priced
+        before, fixed = sum(left.values()), 0
+        price = program.prices
+        used = [(x, p, sum(price[u] * n for u, n in p.items())) for x, p in program.patterns]
+        used.sort(key=lambda t: (-round(t[2] / FULL), sum(t[1].values()), -t[0]))
+        for x, pattern, worth in used:
+            if worth >= 1 - FULL:
+                times = min(int(x + 1e-6), *(left.get(u, 0) // n for u, n in pattern.items()))
+                take(left, patterns, pattern, times)
+                fixed += times
+        for _, pattern, worth in used:
+            if fixed >= program.value / 2 or worth < 1 - FULL and fixed >= program.value / 8:
+                break
+            if all(left.get(u, 0) >= n for u, n in pattern.items()):
+                take(left, patterns, pattern, 1)
+                fixed += 1
+        if not fixed:
+            held = {u: min(n, left[u]) for u, n in used[0][1].items()}
+            take(left, patterns, held, 1)
         by_program += before - sum(left.values())
-    return Plan(patterns, by_program, told.value if told else 0.0, told.bound if told else 0.0)
+        first = [(x % 1, p) for x, p in program.patterns if all(left.get(u, 0) >= n for u, n in p.items())]
+    return Plan(patterns, by_program, told.value if told else 0.0, told.bound if told else 0.0, priced)
 
 
 def take(left: dict[int, int], patterns: list[tuple[int, dict[int, int]]], pattern: dict[int, int], times: int) -> None:
