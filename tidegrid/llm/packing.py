@@ -101,7 +101,7 @@ def chosen(room: np.ndarray, size: np.ndarray, lots: list[tuple[int, int]], take
     """The pieces, by class, of the best patterns for each of some capacities."""
     room, out = room.copy(), [Counter() for _ in room]
     for at in range(len(lots) - 1, -1, -1):
-        hit = np.flatnonzero(taken[at][room])
+        hit = taken[at][room].nonzero()[0]
         if len(hit):
             i, n = lots[at]
             for j in hit.tolist():
@@ -234,7 +234,7 @@ def column_generation(demand: dict[int, int], capacity: int, first: list[tuple],
                 break
             among, grown = 4 * among, len(history)
         found: dict[tuple, dict[int, int]] = {}
-        parts = np.array_split(rng.permutation(m), min(m, max(FEWEST, PASSES * AMONG // among)))
+        parts = np.array_split(rng.permutation(m), min(m, max(FEWEST, min(PASSES, m // 16) * AMONG // among)))
         for k, part in enumerate(parts):
             if k:
                 apart = price * (1 + APART * rng.random(m))
