@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,6 +57,34 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Seconds between two times that saving scratch tables gives the driver's memory back.
+RELIEVE_S = 10
+_relieved = float("-inf")
+
+
+def relieve(spark: SparkSession, every: float = 0) -> None:
+    """Collect the driver's garbage and return what its Python and its JVM keep of freed memory to the system, once in `every` seconds.
+
+    A job of hundreds of plans leaves garbage for which the JVM takes more heap instead of collecting it, and native memory (of
+    compiled code, of a table's bytes on their way) that its C library keeps in an arena for each of some threads.
+    """
+    global _relieved
+    if time.monotonic() - _relieved < every:
+        return
+    gc.collect()
+    give_back()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    of = jvm.Class.forName
+    kinds, values = new(jvm.Class, 4), new(jvm.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(name)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):  # a JVM without that command
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    _relieved = time.monotonic()
+
+
 class Scratch:
     """Intermediate tables in the shared folder: written once, so that lineage ends there, and dropped when no longer needed."""
 
@@ -66,6 +97,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.options(**options).parquet(path)
+        relieve(self.spark, RELIEVE_S)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         return out

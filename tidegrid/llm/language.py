@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.buffers import Block, blocks, text_array
-from tidegrid.llm.common import arrow, fold, sampled
+from tidegrid.llm.common import arrow, fold, relieve, sampled
 
 SPECTRUM, BITS, LANDMARKS, MOST, RIDGE = 4, 14, 128, 4_000, 1e-3
 UNKNOWN = "und"
@@ -151,6 +151,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
     """The rows of docs whose text is in one of the languages learned, with at least this score."""
     model, text = fit(docs, most), docs.columns.index("text")
+    relieve(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Scratch, arrow
+from tidegrid.llm.common import Scratch, arrow, relieve
 from tidegrid.llm.tokens import word_ids
 
 LENGTH, END, UNIT = 4096, 2, 1
@@ -387,6 +387,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     cut = scratch.save(pieces(docs, tokenizer, length, end).withColumn("class", F.ceil(F.col("length") / unit).cast("int")).withColumn("salt", salted))
     demand = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = intervals(make_plan(demand, length // unit))
+    relieve(docs.sparkSession)
     salts = [(u, min(MOST_SALTS, max(1, n // SALT_ROWS))) for u, n in demand.items()]
     salts = docs.sparkSession.createDataFrame(salts, "class int, salts int")
     cut = cut.join(F.broadcast(salts), "class").withColumn("salt", F.pmod("salt", F.col("salts"))).drop("salts")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 from tidegrid.llm.buffers import Words, blocks, signed
-from tidegrid.llm.common import arrow, fold, sampled
+from tidegrid.llm.common import arrow, fold, relieve, sampled
 from tidegrid.llm.textstats import features, held, near, per_doc
 
 MOST, HOLD, LEAST_DOCS, MOST_WORDS, LEAST_ODDS = 12_000, 5, 3, 4096, 1.5
@@ -167,6 +167,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     """The rows of docs that are not predicted to be toxic."""
     model, text = fit(docs, labels, most), docs.columns.index("text")
+    relieve(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
